@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import packing, splitting, tokenization
+from siftwood.llm import docpairs, packing, pii, provenance, secrets, splitting, tokenization
 from siftwood.session import text_batches
 from siftwood.tables import table
 
@@ -25,6 +25,65 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks").select("chunk_id", "start_line", "text"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """file_id and reason of every file that nobody in the repository wrote by hand."""
+    text_batches(spark)
+    return provenance.found(table(spark, folder, "files"), table(spark, folder, "chunks"))
+
+
+def p2_handwritten(spark: SparkSession, folder: str) -> DataFrame:
+    """file_id, rel_path, role and size of the files that are left."""
+    text_batches(spark)
+    told = provenance.classified(table(spark, folder, "files"), table(spark, folder, "chunks"))
+    return told.where("reason is null").select("file_id", "rel_path", "role", "size")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """symbol_id of every function and method whose doc says something."""
+    return docpairs.pairs(table(spark, folder, "symbols")).select("symbol_id")
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """symbol_id, signature and description of the same."""
+    return docpairs.pairs(table(spark, folder, "symbols"))
+
+
+def p4_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The documented functions found in the text of chunks by the grammars of their languages."""
+    text_batches(spark)
+    return docpairs.source_pairs(table(spark, folder, "chunks"), table(spark, folder, "files"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_id and line of every credential, and of every chunk into which one runs."""
+    text_batches(spark)
+    return secrets.found(table(spark, folder, "chunks"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_id, file_id, text and n_masks of every chunk with its credentials masked."""
+    text_batches(spark)
+    return secrets.redact(table(spark, folder, "chunks"))
+
+
+def p5_files(spark: SparkSession, folder: str) -> DataFrame:
+    """file_id and redacted, brought up to date."""
+    text_batches(spark)
+    return secrets.updated_files(table(spark, folder, "files"), secrets.redact(table(spark, folder, "chunks")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, kind and found of every distinct value of personal information."""
+    text_batches(spark)
+    return pii.found(table(spark, folder, "documents"))
+
+
+def p9_sanitized(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, text and n_replaced of every document with placeholders for what was found."""
+    text_batches(spark)
+    return pii.sanitized(table(spark, folder, "documents"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and the token ids of every document."""
     text_batches(spark)
@@ -46,7 +105,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return told.withColumn("share", F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_ids, p8_packed, p8_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_handwritten, p4_found, p4_pairs, p4_source, p5_found, p5_redacted, p5_files, p7_ids, p8_packed, p8_fill, p9_found, p9_sanitized)}
 
 SQL = {
     "p1_found": """
