@@ -1,8 +1,15 @@
 """Encoding of texts with a public tokenizer, and back.
 
-The texts go through the tokenizers library a whole Arrow batch at a time; each
-executor process loads the vocabulary once. Token ids come back as list<int>,
-on request with the span of every token in bytes and in characters.
+Texts are encoded a whole Arrow batch at a time by the tokenizers library; each
+executor process loads the vocabulary once. A byte-level vocabulary merges within
+words only, so the ids of a word don't depend on what stands around it: a text is
+cut into words by the vocabulary's own pattern, the library's model encodes each
+word that is new, written byte by byte in the vocabulary's characters, and words
+that were seen before take their ids from a bounded memo. Texts with characters
+outside the blocks whose classes are fixed go to the library whole.
+
+Token ids come back as list<int>, on request with the span of every token in bytes
+and in characters.
 
 Defined results: a null text and an empty text both give an empty list of ids;
 strings that look like special tokens are ordinary text; extra columns, also
@@ -11,9 +18,13 @@ such that are named like a result, are dropped unless named in `keep`.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +35,8 @@ from pyspark.sql import types as T
 #: Where the vocabulary files lie; a parameter of every operator.
 TOKENIZERS = os.environ.get("SIFTWOOD_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
-#: Texts are handed to the library in slices of at most so many bytes, so that
-#: an Arrow batch of very long texts doesn't multiply in memory.
-SLICE_BYTES = 4 << 20
+#: A batch is given on in parts of about so many ids.
+PART_IDS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -80,24 +90,64 @@ def decode_ids(ids: list[int], path: str) -> str:
     return b"".join(table[i] for i in ids).decode("utf-8", errors="replace")
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of the texts of at most SLICE_BYTES characters, one text at least."""
-    start, size = 0, 0
-    for at, text in enumerate(texts):
-        size += len(text or "")
-        if size > SLICE_BYTES and at > start:
-            yield start, at
-            start, size = at, len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+#: Words whose ids a process remembers; at so many the memo starts anew.
+MEMO_WORDS = 300_000
+#: Characters outside these blocks send a text to the library whole: the blocks
+#: hold Latin letters and general punctuation, whose classes no longer change.
+_BLOCKS = [*range(0x250), *range(0x2000, 0x2070)]
+_ODD = re.compile(r"[^\x00-\u024f\u2000-\u206f]")
+
+
+def _class(letter: str) -> str:
+    """The characters of the blocks whose general category begins with letter, as the inside of a class."""
+    return "".join(re.escape(chr(x)) for x in _BLOCKS if unicodedata.category(chr(x))[0] == letter)
+
+
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern[str]:
+    """The pattern by which byte-level vocabularies cut words, for texts of the blocks."""
+    letter, number = _class("L"), _class("N")
+    space = "\\t-\\r \\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f"
+    return re.compile(
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
+class _Memo(dict):
+    """The ids of words, from the model of the library where they are new."""
 
+    def __init__(self, path: str):
+        super().__init__()
+        self.model = tokenizer(path).model
+        alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.written = [alphabet[b] for b in range(256)]
 
-def encode_texts(texts: list[str | None], path: str) -> Iterator[list[list[int]]]:
-    """The ids of the texts, slice by slice."""
-    library = tokenizer(path)
-    for start, stop in slices(texts):
-        some = [text or "" for text in texts[start:stop]]
-        yield [found.ids for found in library.encode_batch_fast(some, add_special_tokens=False)]
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        text = "".join([self.written[b] for b in word.encode("utf-8", "surrogatepass")])
+        ids = self[word] = tuple(token.id for token in self.model.tokenize(text))
+        return ids
+
+
+@lru_cache(maxsize=4)
+def _memo(path: str) -> _Memo | None:
+    """The memo of a vocabulary, or None if it isn't plain byte-level BPE."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    cut = made.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return _Memo(path) if plain and not made.get("normalizer") and made.get("model", {}).get("type") == "BPE" else None
+
+
+def encode_text(text: str | None, path: str) -> np.ndarray:
+    """The ids of a text; none for a null or empty one."""
+    if not text:
+        return np.zeros(0, np.int32)
+    memo = _memo(path)
+    if memo is None or _ODD.search(text):
+        return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.int32)
+    return np.fromiter(chain.from_iterable(map(memo.__getitem__, word_pattern().findall(text))), np.int32)
 
 
 def spans(text: str, ids: list[int], path: str) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -121,13 +171,26 @@ _IDS = T.ArrayType(T.IntegerType(), False)
 _SPANS = ("byte_start", "byte_end", "char_start", "char_end")
 
 
-def _list_array(rows: list[list[int]]) -> pa.Array:
+def _list_array(rows: list) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((x for r in rows for x in r), np.int32, int(offsets[-1]))
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _parts(texts: list[str | None], path: str) -> Iterator[list[np.ndarray]]:
+    """The ids of the texts, in parts of about PART_IDS."""
+    rows, size = [], 0
+    for text in texts:
+        rows.append(encode_text(text, path))
+        size += len(rows[-1])
+        if size >= PART_IDS:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def encode(
     df: DataFrame,
     key: str,
@@ -148,10 +211,10 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, at = batch.column(n).to_pylist(), 0
-            for rows in encode_texts(texts, path):
+            for rows in _parts(texts, path):
                 columns = [batch.column(i).slice(at, len(rows)) for i in range(n)] + [_list_array(rows)]
                 if with_spans:
-                    found = [spans(texts[at + i] or "", ids, path) for i, ids in enumerate(rows)]
+                    found = [spans(texts[at + i] or "", ids.tolist(), path) for i, ids in enumerate(rows)]
                     columns += [_list_array([f[j] for f in found]) for j in range(4)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
                 at += len(rows)
@@ -167,12 +230,8 @@ def count_tokens(df: DataFrame, keys: list[str], text: str = "text", *, path: st
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = tokenizer(path)
         for batch in batches:
-            texts, sizes = batch.column(n).to_pylist(), []
-            for start, stop in slices(texts):
-                some = [x or "" for x in texts[start:stop]]
-                sizes += [len(found) for found in library.encode_batch_fast(some, add_special_tokens=False)]
+            sizes = [len(encode_text(text, path)) for text in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(n)), pa.array(sizes, pa.int64())], names=[f.name for f in fields]
             )
