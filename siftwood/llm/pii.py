@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from math import log2
 
 import pyarrow as pa
@@ -77,7 +78,8 @@ _CUE = re.compile(
 _LAST_WORDS = frozenset(w.strip("?.,\\ ").lower() for part in (REVEALING_VERBS + "|" + TITLES).replace("(?:in)?", "").replace("(?:e|t)?", "|frage|fragt").replace("[r]", "r").replace("[oa]", "o|querida").replace("['’]", "'").split("|") for w in [part.split(" ")[-1]]) | {"lieber", "d'après", "thanks"}
 _MAIL_AFTER = re.compile(r"(?:['’]s)?[ \t]*[<(\[]{1,2}(?:mailto:)?[\w.+%'’-]+(?:@|[ \t]*[\[({]?(?:at|AT|At)[\])}]?[ \t])")
 
-_AT = re.compile(r"@|[ \t]?[\[({][ \t]?(?i:at)[ \t]?[\])}][ \t]?|[ \t](?:at|AT|At)[ \t](?=[\w-]+(?:\.[\w-]+)*(?:[ \t]?[\[({]|[ \t](?i:dot)[ \t]))")
+_BRACKETED = re.compile(r"[\[({][ \t]?[aA][tT][ \t]?[\])}][ \t]?")
+_SPELLED = re.compile(r"[\w-]+(?:\.[\w-]+)*(?:[ \t]?[\[({]|[ \t](?i:dot)[ \t])")
 _LOCAL = re.compile(r"[\w.+%'’-]+\Z")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.|[ \t]?[\[({][ \t]?(?:\.|(?i:dot|punkt|point|punto))[ \t]?[\])}][ \t]?|[ \t](?:dot|DOT|Dot)[ \t])[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _HIDDEN_DOT = re.compile(r"[\[({]|[ \t](?i:dot)[ \t]")
@@ -122,7 +124,7 @@ _ADDRESS = [
         rf"(?:,[ \t]*(?:bajo|ático|\d{{1,2}}\.?[ºª°o]\.?[ \t]*(?:[A-Z]|izq\.?|dcha\.?|\d)?|[A-Z]|esc\.?[ \t]*\w+|piso[ \t]*\w+|puerta[ \t]*\w+))*{_SEP}(?:E-)?\d{{5}}[ \t]+{_NAMED}(?:[ \t](?:{_NAMED}|de|del|la|los|las|el)){{0,4}}"
     ),
 ]
-_POSTCODE = re.compile(r"(?<![\w./])(?:[A-Z]-)?\d{5}(?![\w.]\w|\w)|\b[A-Z]{1,2}\d{1,2}[A-Z]?[ \t]\d[A-Z]{2}\b")
+_POSTCODE = re.compile(r"\d{5}(?![\w.]\w|\w)|[A-Z]\d{1,2}[A-Z]?[ \t]\d[A-Z]{2}\b")
 _SIX = re.compile(r"\d(?:[ .-]?\d){5}")
 _NINE = re.compile(r"\d(?:[ .\-()/ ]{0,3}\d){8}")
 _SPACES = re.compile(r"\s+")
@@ -141,22 +143,34 @@ def fold(token: str) -> str:
     return plain.lower().replace("’", "'").replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("œ", "oe")
 
 
+def _places(text: str, what: str) -> Iterator[int]:
+    """Where a fixed string stands in a text."""
+    at = text.find(what)
+    while at >= 0:
+        yield at
+        at = text.find(what, at + 1)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """The spans of mail addresses, also of such written out in words."""
-    for m in _AT.finditer(text):
-        left = _LOCAL.search(text, max(0, m.start() - 72), m.start())
+    signs = [(i, i + 1) for i in _places(text, "@")]
+    signs += [(m.start() - (text[m.start() - 1 : m.start()] in (" ", "\t")), m.end()) for m in _BRACKETED.finditer(text)]
+    for word in (" at ", " AT ", " At "):
+        signs += [(i, i + 4) for i in _places(text, word) if _SPELLED.match(text, i + 4)]
+    for begin, end in sorted(signs):
+        left = _LOCAL.search(text, max(0, begin - 72), begin)
         if not left:
             continue
-        right = _HOST.match(text, m.end())
+        right = _HOST.match(text, end)
         if not right:
             continue
-        local, sign, host = left[0], m[0].strip(), right[0]
+        local, sign, host = left[0], text[begin:end].strip(), right[0]
         start = left.start() + len(local) - len(local.lstrip(".-'’%+"))
         stop = right.end()
         plain = sign == "@"
-        if start >= m.start() or text[start - 1 : start] in ("@", "/", ":") and text[max(0, start - 7) : start].lower() != "mailto:" and "//" in text[max(0, start - 40) : start]:
+        if start >= begin or text[start - 1 : start] in ("@", "/", ":") and text[max(0, start - 7) : start].lower() != "mailto:" and "//" in text[max(0, start - 40) : start]:
             continue
-        if text[start : m.start()].lower() in ("git", "hg", "svn", "ssh", "cvs") or text[stop : stop + 1] in (":", "/") and re.match(r":[\w./-]|/\w", text[stop : stop + 2]) and plain:
+        if text[start:begin].lower() in ("git", "hg", "svn", "ssh", "cvs") or text[stop : stop + 1] in (":", "/") and re.match(r":[\w./-]|/\w", text[stop : stop + 2]) and plain:
             continue
         parts = re.split(r"[ \t]*[\[({]?[ \t]*(?:\.|(?i:dot|punkt|point|punto))[ \t]*[\])}]?[ \t]*", host)
         if not re.fullmatch(r"[A-Za-z][A-Za-z-]{1,}", parts[-1]):
@@ -168,10 +182,12 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def phones(text: str) -> Iterator[tuple[int, int]]:
     """The spans of phone numbers with their prefixes and extensions."""
-    if not _NINE.search(text):
-        return
-    for pattern in (_DIGITS, _EQUAL_DIGITS):
-        for m in pattern.finditer(text):
+    done = 0
+    for near in _NINE.finditer(text):
+        low, high = max(done, near.start() - 10), min(len(text), near.end() + 40)
+        for m in chain(_DIGITS.finditer(text, low, high), _EQUAL_DIGITS.finditer(text, low, high)):
+            if m.start("n") >= near.end() or m.start("n") < done:
+                continue
             number = m["n"]
             start = m.start("n")
             digits = sum(c.isdigit() for c in number)
@@ -191,7 +207,8 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
                     continue
                 if number.count("(") != number.count(")"):
                     continue
-                yield start, m.end("x") if m["x"] else m.end("n")
+                done = m.end("x") if m["x"] else m.end("n")
+                yield start, done
                 break
 
 
@@ -216,6 +233,8 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
     """The spans of street addresses, from street or house number to town or postcode: looked for around postcodes."""
     windows: list[tuple[int, int]] = []
     for m in _POSTCODE.finditer(text):
+        if m.start() and (text[m.start() - 1].isdigit() or text[m.start() - 1] in "./_"):
+            continue
         low, high = max(0, m.start() - 160), min(len(text), m.end() + 80)
         if windows and low <= windows[-1][1]:
             windows[-1] = (windows[-1][0], high)
@@ -364,8 +383,9 @@ def scanned(documents: DataFrame) -> DataFrame:
 def lexicon(rows: DataFrame, *, share: float = SHARE, bits: float = DISCLOSURE) -> DataFrame:
     """term, n, m and bits of the terms that disclose a person, from the counts over all documents."""
     terms = rows.where("kind = 'term'").groupBy(F.col("found").alias("term")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    whole = terms.agg((F.sum("m") / F.sum("n")).alias("base"))
-    scored = terms.crossJoin(F.broadcast(whole)).withColumn("bits", F.log2(F.greatest(F.col("m") / F.col("n"), F.lit(1e-9)) / F.greatest("base", F.lit(1e-9))))
+    whole = rows.where("kind = 'term'").agg((F.sum("m") / F.sum("n")).alias("base")).first()
+    base = max(float(whole.base or 0), 1e-9)  # one number for the corpus
+    scored = terms.withColumn("bits", F.log2(F.greatest(F.col("m") / F.col("n"), F.lit(1e-9)) / F.lit(base)))
     # where nearly all terms are names the base rate is high and no term can be far above it
     return scored.where((F.col("m") / F.col("n") >= share) & ((F.col("bits") >= bits) | (F.col("m") / F.col("n") >= 0.5))).select("term", "n", "m", "bits")
 
