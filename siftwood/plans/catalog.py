@@ -1,8 +1,8 @@
 """All queries of the core and their SQL."""
 
-from siftwood.plans import basics, training
+from siftwood.plans import basics, searching, training
 
-_MODULES = (basics, training)
+_MODULES = (basics, searching, training)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
