@@ -180,22 +180,22 @@ def circles(links: DataFrame) -> DataFrame:
     own node within the colour is one component.
     """
     links = materialize(links.select("src", "dst").where("src <> dst").distinct(), "ring")
+    size = links.count()
     while True:
-        kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = materialize(kept, "ring")
-        if kept.count() == links.count():
+        kept = links.join(links.select(F.col("dst").alias("src")), "src", "left_semi").join(links.select(F.col("src").alias("dst")), "dst", "left_semi")
+        links = materialize(kept, "ring")
+        before, size = size, links.count()
+        if size == before:
             break
-        links = kept
     done = None
     while links.limit(1).count():
         nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
         color = materialize(nodes.select("id", F.col("id").alias("c")), "color")
         while True:
             given = links.join(color, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("c").alias("g"))
-            after = materialize(color.join(given, F.col("id") == F.col("dst"), "left").select("id", F.least("c", F.coalesce("g", "c")).alias("c")), "color")
-            same = after.join(color, ["id", "c"], "left_anti").limit(1).count() == 0
-            color = after
-            if same:
+            low = F.coalesce("g", "c") < F.col("c")
+            color = materialize(color.join(given, F.col("id") == F.col("dst"), "left").select("id", F.when(low, F.col("g")).otherwise(F.col("c")).alias("c"), low.alias("moved")), "color")
+            if not color.where("moved").limit(1).count():
                 break
         a, b = color.select(F.col("id").alias("src"), F.col("c").alias("sc")), color.select(F.col("id").alias("dst"), F.col("c").alias("dc"))
         inside = materialize(links.join(a, "src").join(b, "dst").where("sc = dc").select("src", "dst", F.col("sc").alias("c")), "inside")
