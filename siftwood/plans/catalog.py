@@ -1,8 +1,8 @@
 """All queries of the core and their SQL."""
 
-from siftwood.plans import basics, checks, graphs, searching, training
+from siftwood.plans import basics, checks, graphs, searching, texts, training
 
-_MODULES = (basics, graphs, searching, checks, training)
+_MODULES = (basics, graphs, searching, checks, texts, training)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
