@@ -82,7 +82,7 @@ def repaired(anchors: DataFrame, checks: DataFrame) -> DataFrame:
 
 def stable_id(namespace: str, *parts: Column) -> Column:
     """namespace and 24 digits of the digest of the parts, each after a zero byte."""
-    body = F.concat(*[x for p in parts for x in (F.decode(F.unhex(F.lit("00")), F.lit("UTF-8")), p)])
+    body = F.concat(*[x for p in parts for x in (F.char(F.lit(0)), p)])
     return F.concat(F.lit(namespace + ":"), F.substring(F.sha2(body, 256), 1, 24))
 
 
