@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from siftwood.session import materialize
 
-#: Share of a term's occurrences as a name that must reveal a person, at least.
-SHARE = 0.12
+#: Share of a term's occurrences in the shape of a name that must reveal a person, at least.
+SHARE = 0.3
 #: Bits of information about a person from which a term counts as a name.
 DISCLOSURE = 1.0
 
@@ -311,7 +311,8 @@ def observe(text: str) -> tuple[list[tuple[str, str]], dict[str, bool], Counter[
                 if kind in ("token", "initial") and _CUE.search(text[max(0, start - 24) : start + a].rpartition("\n")[2]):
                     hit, lead = True, i
                     break
-        left = 2  # the first two terms behind the cue; what follows may be the next sentence
+        # the first two terms behind the cue, one after an initial; what follows may be the next sentence
+        left = 1 if parts[lead : lead + 1] and parts[lead][0] == "initial" else 2
         for i, (kind, a, b) in enumerate(parts):
             if kind == "token":
                 said = hit and i >= lead and left > 0
@@ -336,6 +337,8 @@ def judged(run: str, names: set[str]) -> list[str]:
         if m[0].count("n") < 2 and "i" not in m[0]:
             continue
         a, b = m.span()
+        if run[parts[a][1] : parts[a][2]] == "M." and (m[0].count("n") > 1 or m[0].startswith("ii")):
+            a += 1  # a title before a full name, no initial
         if m[0].endswith("i") and m[0].count("n") >= 1 and m[0].count("i") == 1 and m[0].count("n") > 1 and "," not in run[parts[a][1] : parts[b - 1][2]]:
             b -= 1
         out.append(squeezed(run[parts[a][1] : parts[b - 1][2]]))

@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 EXPANSION = 8.0
 #: Characters of the longest line that a minified file has at least.
 LONG_LINE = 400
-#: Share of literals in what isn't comment from which a file is data.
-LITERALS = 0.975
+#: Share of literals in what isn't comment from which a file is data, and the lower
+#: share that will do where hardly any words are left beside them.
+LITERALS, FEW_WORDS_LITERALS, FEW_WORDS = 0.98, 0.9, 70
 #: Characters that a data file has at least.
 DATA_CHARS = 400
 #: Lines from the top within which the head of a file stands.
@@ -68,7 +69,8 @@ NOTICES = (
     r"|\bthis (?:file|code) (?:is|was|has been) (?:auto-?|automatically |machine[- ])?generated\b|\bthis is (?:an? )?(?:auto-?|machine[- ])?generated (?:code|file)\b"
     r"|\bdo not (?:edit|modify)\b.{0,40}\b(?:produced|generated|created|built|written) (?:by|from|with)\b|\boutput of [\w .-]+\. (?:hand|manual) (?:edits|changes)\b"
     r"|\b(?:hand|manual) (?:edits|changes) (?:get|are|will be|would be) (?:overwritten|lost)\b|\bchanges will be (?:lost|overwritten)\b"
-    r"|\bg[ée]n[ée]r[ée]e? automatiquement\b|\b(?:automatisch|maschinell) (?:generiert|erzeugt|erstellt)\b|\bgenerado autom[áa]ticamente\b|\b(?:generiert|erzeugt) von [\w .-]+[,;] nicht\b"
+    r"|\bmachine[- ](?:written|made|generated|produced)\b|\bedit \S+ instead\b|^\W*(?:this file |file )?(?:was |is )?(?:auto-?|automatically )?(?:generated|produced|emitted) (?:by|from|with|using|via|on|at)\b"
+    r"|\bne pas (?:modifier|[ée]diter)\b|\bnicht (?:bearbeiten|[äa]ndern|editieren)\b|\bno (?:editar|modificar)\b|\bg[ée]n[ée]r[ée]e? automatiquement\b|\b(?:automatisch|maschinell) (?:generiert|erzeugt|erstellt)\b|\bgenerado autom[áa]ticamente\b|\b(?:generiert|erzeugt) von [\w .-]+[,;] nicht\b"
     r"|\bgenerado por [\w .-]+[,;] no (?:editar|modificar)\b|\bg[ée]n[ée]r[ée] par [\w .-]+[,;] ne pas\b|自動生成|自动生成|сгенерирован"
 )
 # ---- end of fixed values ----
@@ -192,7 +194,7 @@ def profiles(chunks: DataFrame) -> DataFrame:
     told = once.groupBy("file_id").agg(*sums, F.max("longest").alias("longest"), F.min_by("head", "start_line").alias("head"))
     lines = F.greatest(F.col("lines"), F.lit(1))
     return told.select(
-        "file_id", "lines", "longest", "size", "head",
+        "file_id", "lines", "longest", F.col("size").alias("code_chars"), (F.col("size") - F.col("literal")).alias("bare_chars"), "head",
         (F.col("canonical") / lines).alias("expansion"),
         (F.col("literal") / F.greatest(F.col("size"), F.lit(1))).alias("literal_share"),
         (F.col("regular") / lines).alias("uniformity"),
@@ -241,7 +243,9 @@ def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     generated = (
         _in_dirs(path, GENERATED_DIRS) | F.lower(name).rlike(GENERATED_NAMES) | name.isin(LOCK_FILES) | F.col("notice")
     )
-    data = code & (F.col("literal_share") >= LITERALS) & (F.col("size") >= DATA_CHARS)
+    words = F.col("bare_chars")
+    literal = (F.col("literal_share") >= LITERALS) | (F.col("literal_share") >= FEW_WORDS_LITERALS) & (words <= FEW_WORDS)
+    data = code & literal & (F.col("code_chars") >= DATA_CHARS)
     yes = lambda c: F.coalesce(c, F.lit(False))
     reason = F.when(yes(vendored), "vendored").when(yes(minified), "minified").when(yes(generated), "generated").when(yes(data), "data")
     return full.select("file_id", "rel_path", "role", F.col("bytes").alias("size"), reason.alias("reason"), "expansion", "literal_share", "uniformity", "longest", "project", "notice")
