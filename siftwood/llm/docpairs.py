@@ -143,8 +143,10 @@ def lines_of(doc: str) -> list[str]:
             rest = line[m.end() :]
             again = re.match(r"(?://[/!]*|#+|--)\s*$", rest)
             line = "" if again else rest
-        line = re.sub(r"\s*\*+/\s*$", "", line)
-        out.append(line.rstrip())
+        line = line.rstrip()
+        if line.endswith("*/"):
+            line = line.rstrip("*/").rstrip() if line.strip("*/ \t") else ""
+        out.append(line)
     return out
 
 
@@ -292,7 +294,7 @@ class Grammar:
     body: str = "braces"  # braces, indent or end
 
 
-_B = r"(?P<indent>[ \t]*)"
+_B = r"(?P<indent>[ \t]*+)"
 GRAMMARS: dict[str, Grammar] = {
     "python": Grammar(re.compile(_B + r"(?:async\s+)?def\s+(?P<name>\w+)\s*\("), "#", None, re.compile(r"[ \t]*@\w"), "indent"),
     "go": Grammar(re.compile(_B + r"func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\("), "//"),
@@ -342,6 +344,8 @@ def islands(text: str, lang: str) -> list[tuple[str, str, str | None, int, int]]
         return []
     lines, out = text.replace("\r\n", "\n").split("\n"), []
     for i, line in enumerate(lines):
+        indent = line[: len(line) - len(line.lstrip())]
+        line = indent + re.sub(r"\s+", " ", line[len(indent) :])
         m = grammar.signature.match(line)
         if not m:
             continue

@@ -87,7 +87,7 @@ _NOTICE = re.compile("(?i)" + NOTICES)
 _STUB = re.compile(r"(?i)\b(?:method|function|class|constructor)?\s*stub\b")
 _LEX = re.compile(
     r"(?P<c>/\*.*?(?:\*/|\Z)|(?<![:\w])//[^\n]*|^[ \t]*(?:#(?!\[|!\[|include\b|import\b|define\b|ifdef\b|ifndef\b|endif\b|pragma\b)|--(?!\w+:))[^\n]*|^[ \t]*(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)))"
-    r"|(?P<s>\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|url\([^)\n]*\)|[A-Za-z0-9+/]{60,}={0,2})",
+    r"|(?P<s>\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"[^\"\\\n]*\"|\"(?:\\.|[^\"\\\n]){0,2000}+\"|'[^'\\\n]*'|'(?:\\.|[^'\\\n]){0,2000}+'|`(?:\\.|[^`\\])*+(?:`|\Z)|url\([^)\n]*\)|[A-Za-z0-9+/]{60,}={0,2})",
     re.S | re.M,
 )
 _NUMBER = re.compile(r"\b0[xX][0-9a-fA-F]+[uUlL]*\b|(?<![\w.])-?\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?(?:px|em|rem|%|f|[uUiIlL]\d*)?(?!\w)")

@@ -83,7 +83,7 @@ _TRIGGER = re.compile(
     re.M,
 )
 _ASSIGN = re.compile(
-    r"(?P<name>[A-Za-z_][\w.\-]*)[\"'`]?\]?(?:\s*:\s*[&*]?(?:'static\s+)?[A-Za-z][\w<>\[\]:]*\??\s*=\s*(?=[rbuf]{0,2}[\"'`])|\s*(?::=|=>|=(?!=)|:(?![:=]))|\s+:=?)\s*(?P<open>[rbuf]{0,2}(?=[\"'`]))?"
+    r"(?<![\w.])(?P<name>[A-Za-z_][\w.\-]{0,120})[\"'`]?\]?(?:\s*:\s*[&*]?(?:'static\s+)?[A-Za-z][\w<>\[\]:]*\??\s*=\s*(?=[rbuf]{0,2}[\"'`])|\s*(?::=|=>|=(?!=)|:(?![:=]))|\s+:=?)\s*(?P<open>[rbuf]{0,2}(?=[\"'`]))?"
 )
 _PIECE = "(?:\"(?:\\\\.|[^\"\\\\\\n])*\"|'(?:\\\\.|[^'\\\\\\n])*'|`(?:\\\\.|[^`\\\\\\n])*`)"
 _CHAIN = re.compile(_PIECE + r"(?P<more>(?:[ \t]*(?:\+|\.\.|\.|\\|_)?[ \t]*\\?(?:\r?\n[ \t]*)?(?:\+|\.\.|\.)?[ \t]*" + _PIECE + r")*)")
@@ -94,7 +94,7 @@ _CALL = re.compile(r"(?i)(?:set_?(?:auth|basic_?auth|password|pass|passwd|pwd|to
 _HEADER = re.compile(r"(?i)\b(?:bearer|basic)\s+(?P<v>[A-Za-z0-9_\-+/.~]{8,}=*)")
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]*://(?P<u>[^\s:/@\"'`<>]*):(?P<v>[^\s/@\"'`]+)@(?=[\w.\-\[])")
 _CURL = re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']*:(?P<v>[^\s\"']+)")
-_PROSE = re.compile(r"(?i)\b(?:password|passwd|passphrase|pwd|api key|token|secret)(?:\s+(?:is|was|of|to|now))?\s*[:=]?\s+[`\"']?(?P<v>[^\s`\"'(),]{6,})")
+_PROSE = re.compile(r"(?i)\b(?:password|passwd|passphrase|pwd|api key|token|secret)(?:\s{1,8}(?:is|was|of|to|now))?\s{0,8}[:=]?\s{1,8}[`\"']?(?P<v>[^\s`\"'(),]{6,})")
 _LOGIN = re.compile(r"(?i)\b(?:login|user|account|credentials?)\s+(?:for\s+)?\S+\s*[/:|]\s*(?P<v>\S{6,})")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")

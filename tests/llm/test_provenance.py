@@ -38,3 +38,16 @@ def test_reasons(spark):
     assert P.classified(f, c).count() == 16
     assert P.found(f.limit(0), c).count() == 0
     assert {r.file_id for r in P.found(f, c.limit(0)).collect()} == {2, 4, 5, 9}
+
+
+def test_long_odd_texts_take_no_more_than_their_length():
+    import time
+
+    from siftwood.llm import docpairs, pii, secrets
+
+    n = 100_000
+    for text in ("a" * n, "password" + " " * n + "=x", '"\\' * (n // 2), " " * n + "x", "1-" * (n // 2), "Abc " * (n // 4), "a@" * (n // 2), "f(" * (n // 2), "-----BEGIN RSA PRIVATE" + " KEY-----\n" * (n // 12), "\n" * n):
+        for work in (secrets.scan, pii.observe, P.profile, P.head, lambda t: docpairs.statements(t, "x"), lambda t: docpairs.islands(t, "java")):
+            began = time.process_time()
+            work(text)
+            assert time.process_time() - began < 8, text[:20]
