@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siftwood.functions import paths as P
 from siftwood.functions import text as X
 from siftwood.index import Index
 from siftwood.operators import fusion as Q
@@ -107,6 +108,14 @@ SQL = {
     "f03_containing": S.sql(f"{_HIT} WHERE instr(lower(name), '{PART}') > 0 ORDER BY length(name), rel_path, start_line, symbol_id LIMIT 50"),
     "f04_named_like": S.sql(f"{_HIT} WHERE lower(name) LIKE '%{PART}%' ORDER BY name, symbol_id LIMIT 50"),
     "f05_name_band": S.sql("SELECT DISTINCT name FROM s WHERE length(name) BETWEEN 9 AND 11 ORDER BY name LIMIT 20000"),
+    "f08_find": S.sql(
+        "SELECT symbol_id, name, kind, rel_path, start_line, rank, source, ordinal FROM (SELECT symbol_id, source, ordinal FROM ("
+        f"SELECT symbol_id, 0 AS source, row_number() OVER (ORDER BY rel_path, start_line, symbol_id) AS ordinal FROM h WHERE name = '{PART}' "
+        "UNION ALL SELECT * FROM (SELECT symbol_id, 1, row_number() OVER (ORDER BY score DESC, name, symbol_id) AS ordinal FROM told WHERE tier = 0) WHERE ordinal <= 50 "
+        f"UNION ALL SELECT * FROM (SELECT symbol_id, 2, row_number() OVER (ORDER BY length(name), rel_path, start_line, symbol_id) AS ordinal FROM h WHERE instr(lower(name), '{PART}') > 0) WHERE ordinal <= 50) "
+        f"QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY source, ordinal) = 1) JOIN (SELECT *, CASE WHEN kind IN {S._list(P.AUXILIARY_KINDS)} THEN 1 ELSE 0 END + CASE WHEN {S.vendored('rel_path')} THEN 2 ELSE 0 END AS rank FROM h) USING (symbol_id)",
+        f"h AS ({_HIT}), t AS (SELECT symbol_id, name, concat_ws(' ', name, signature) AS text FROM s), " + bm25("t", "symbol_id", "text", PART, ", name"),
+    ),
     "f10_postings": S.sql("SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM c) GROUP BY ALL"),
     "f11_search": S.sql("SELECT * FROM top", _chunks(QUESTION, 50)),
     "f13_substring": S.sql("SELECT chunk_id, n FROM part", _PART.format(n=50)),

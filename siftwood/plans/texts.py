@@ -104,6 +104,7 @@ SQL = {
     "w08_first_per_name": S.sql("SELECT file_id, name, min(symbol_id) AS symbol_id FROM s GROUP BY ALL"),
     "c03_sources": S.sql(f"SELECT chunk_id, rel_path, top.start_line, {_LEX} AS lexical FROM top JOIN c USING (chunk_id) JOIN f ON f.file_id = top.file_id", _chunks(QUESTION, 40)),
     "c15_ids": S.sql("SELECT symbol_id, 'source:' || rtrim(replace(replace(base64((rel_path || ':' || start_line)::BLOB), '+', '-'), '/', '_'), '=') AS id FROM s JOIN f USING (file_id)"),
+    "c16_paragraphs": "SELECT doc_id, CASE WHEN length(p) > 500 THEN left(p, 500) || '…' ELSE p END AS paragraph FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', ''), chr(10) || chr(10))[1] AS p FROM documents)",
     "web05_page_paths": f"SELECT url, CASE WHEN p = '' THEN 'index.md' WHEN x = '' THEN p || '/index.md' WHEN x IN ('.html', '.htm') THEN regexp_replace(p, '\\.html?$', '') || '.md' WHEN x = '.md' THEN p ELSE p || '.md' END AS path "
     f"FROM (SELECT url, {_URLPATH} AS p, regexp_extract(regexp_extract({_URLPATH}, '([^/]*)$', 1), '(\\.[^.]*)$', 1) AS x FROM {_values([(u,) for u in URLS], 'url')})",
     "web07_commands": f"SELECT doc_id FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_values([(-i - 1, t) for i, t in enumerate(SENTENCES)], 'doc_id, text')}) WHERE {_COMMAND}",
