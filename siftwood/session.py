@@ -78,3 +78,15 @@ def text_batches(spark: SparkSession, rows: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let the Python workers import this package from where the driver has it.
+
+    Enough where the executors see the driver's files; elsewhere the package must
+    be installed or shipped with addPyFile.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *([known] if known else [])])
