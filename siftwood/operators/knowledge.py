@@ -173,3 +173,28 @@ def decide(version: int, expected: int, decision: str, key: str, done: dict[str,
         raise ValueError(decision)
     done[key] = {"decision": decision, "version": version + 1}
     return done[key]
+
+
+# ---------------------------------------------------------------- bundles
+
+
+def bundle(spark, root: str, most_bytes: int = 4 << 20) -> DataFrame:
+    """path, fields, front, body and hash of the Markdown documents below a folder; its index and log are left out."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    base = len(root.split("://", 1)[-1].removeprefix("file:").rstrip("/"))
+    bare = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    named = rows.where(F.col("length") <= most_bytes).select(bare.substr(F.lit(base + 2), F.length(bare)).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    kept = named.where(~F.lower(F.element_at(F.split("path", "/"), -1)).isin("index.md", "log.md"))
+    front = F.regexp_extract("text", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
+    body = F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", "")
+    fields = F.map_from_entries(F.transform(F.regexp_extract_all(front, F.lit(r"(?m)^([A-Za-z_][\w-]*:[ \t]*.*)$"), 1), lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(x, "^[^:]*:", "")), "^['\"]|['\"]$", "").alias("value"))))
+    return kept.select("path", fields.alias("fields"), front.alias("front"), body.alias("body"), F.sha2("text", 256).alias("hash"))
+
+
+def index_page(documents: list[tuple[str, str]], before: str = "", begin: str = "<!-- index -->", end: str = "<!-- /index -->") -> str:
+    """A page that lists documents (path, title) between two marks; what stands around the marks stays."""
+    block = "\n".join([begin, *(f"- [{title or path}]({path})" for path, title in sorted(documents)), end])
+    if begin in before and end in before:
+        head, _, rest = before.partition(begin)
+        return head + block + rest.partition(end)[2]
+    return (before.rstrip("\n") + "\n\n" if before else "") + block + "\n"

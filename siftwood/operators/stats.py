@@ -152,3 +152,17 @@ def retrieval_metrics(cases: DataFrame) -> DataFrame:
     return cases.groupBy("strategy").agg(
         F.round(F.avg(recall), 6).alias("recall"), F.round(F.avg(precision), 6).alias("precision"), F.round(F.avg(use), 6).alias("utilisation"), F.count_if(complete).alias("complete")
     )
+
+
+def answer_accounting(answers: DataFrame, index: Index) -> DataFrame:
+    """answer_id, files and bytes of the distinct files that the strings of an answer (answer_id, strings) name."""
+    named = answers.select("answer_id", F.explode("strings").alias("rel_path")).distinct()
+    met = named.join(index.files.select("rel_path", "size"), "rel_path")
+    return met.groupBy("answer_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+def packet_totals(packets: DataFrame, index: Index) -> DataFrame:
+    """packet_tokens, cited_tokens and ratio of packets (rel_path, tokens) against their files read whole."""
+    cited = packets.select("rel_path").distinct().join(index.files.select("rel_path", "size"), "rel_path").agg(F.sum(F.floor((F.col("size") + 3) / 4)).cast("bigint").alias("cited")).first()
+    told = packets.agg(F.sum("tokens").cast("bigint").alias("packet_tokens"))
+    return told.select("packet_tokens", F.lit(cited.cited).cast("bigint").alias("cited_tokens"), F.round(F.lit(cited.cited) / F.col("packet_tokens"), 4).alias("ratio"))

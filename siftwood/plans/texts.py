@@ -11,6 +11,8 @@ from siftwood.operators import extraction as T
 from siftwood.operators import knowledge as N
 from siftwood.operators import packets as C
 from siftwood.operators import resolution as J
+from siftwood.operators import sketch as Y
+from siftwood.operators import stats as A
 from siftwood.operators import webdocs as W
 from siftwood.plans import sqltext as S
 from siftwood.plans.searching import _CONCEPT, QUESTION, _chunks
@@ -60,6 +62,12 @@ def _regions(s, d):
     return index.chunks.select("chunk_id", N.region_hash(F.col("text"), F.lit(2), F.lit(4)).alias("hash"))
 
 
+def _answers(s, d):
+    """Each file as an answer that names the files it leads to."""
+    links = Index(s, d).links()
+    return links.select(F.col("src").alias("answer_id"), F.array("dst_path", "kind").alias("strings"))
+
+
 QUERIES = {
     "d04_sentences": lambda s, d: Index(s, d).symbols.where(F.col("doc").isNotNull() & ~F.col("doc").contains("\n")).select("symbol_id", T.sentence_column(F.col("doc")).alias("sentence")),
     "d05_windows": lambda s, d: T.windows(_docs(s, d), "doc_id"),
@@ -80,6 +88,9 @@ QUERIES = {
     "n01_region_hashes": _regions,
     "n09_span_digests": lambda s, d: Index(s, d).chunks.select("chunk_id", N.span_digest(F.col("text"), F.lit(1), F.lit(3)).alias("digest")),
     "n11_peeks": lambda s, d: Index(s, d).chunks.select("chunk_id", N.peek(F.col("text"), F.lit(2), F.lit(5)).alias("lines")),
+    "a18_packet_totals": lambda s, d: A.packet_totals(C.packet(Index(s, d), QUESTION).select("rel_path", "tokens"), Index(s, d)),
+    "a13_accounting": lambda s, d: A.answer_accounting(_answers(s, d), Index(s, d)),
+    "y01_sketches": lambda s, d: Index(s, d).chunks.join(Index(s, d).files.select("file_id", "lang"), "file_id").where(F.col("lang").isin(*Y.READERS)).select("chunk_id", Y.sketched("text", "lang").alias("sketch")).where("sketch <> ''"),
     "n12_work_markers": lambda s, d: N.work_markers(Index(s, d).chunks, "chunk_id"),
 }
 
@@ -97,6 +108,10 @@ _URLPATH = "regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1),
 _MARK = "\\b(" + "|".join(N.MARKERS) + ")\\b"
 
 SQL = {
+    "a13_accounting": S.sql(
+        "SELECT answer_id, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT DISTINCT e.src_id AS answer_id, q.rel_path, q.size FROM e JOIN f p ON p.file_id = e.src_id JOIN f q ON q.file_id = e.dst_id "
+        f"WHERE e.src_type = 'file' AND e.dst_type = 'file' AND e.resolved AND e.kind IN {S.DEPS}) GROUP BY answer_id"
+    ),
     "d05_windows": "SELECT doc_id, start_line, least(start_line + 39, len(lines)) AS end_line, array_to_string(list_slice(lines, start_line, start_line + 39), chr(10)) AS text FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1, 40)) AS start_line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)) "
     "WHERE NOT regexp_matches(array_to_string(list_slice(lines, start_line, start_line + 39), chr(10)), '^[ \\t\\n\\x0B\\f\\r]*$')",
     "j01_unique_suffixes": S.sql("SELECT tail, min(file_id) AS file_id FROM (SELECT file_id, array_to_string(list_slice(p, i, len(p)), '/') AS tail FROM (SELECT file_id, string_split(rel_path, '/') AS p, unnest(range(1, len(string_split(rel_path, '/')) + 1)) AS i FROM f)) GROUP BY tail HAVING count(*) = 1"),
