@@ -285,7 +285,7 @@ def split_oversized(
     if not 0 <= overlap * 2 < limit or range_bytes < 4 * limit:
         raise ValueError("the overlap must be below half the limit, a range at least four times the limit")
     line = F.coalesce(F.col(f"`{start_line}`").cast("int"), F.lit(1)) if start_line else F.lit(1)
-    rows = df.dropDuplicates([key]).where(F.octet_length(F.col(f"`{text}`").cast("string")) > limit)
+    rows = df.where(F.octet_length(F.col(f"`{text}`").cast("string")) > limit).dropDuplicates([key])
     ranges = _ranges(rows, key, text, limit, range_bytes, [line.alias("__line")])
     key_field = T.StructField("__key", df.schema[key].dataType)
 
