@@ -92,21 +92,36 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     out = known.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     shares = materialize(weighted.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "shares")
     degree = known.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    # of what a node gives, the share that goes to nodes without links
+    ends = shares.join(out.select(F.col("src").alias("dst")), "dst", "left_anti").groupBy(F.col("src").alias("id")).agg(F.sum("share").alias("ends"))
     base = materialize(
-        nodes.join(degree, "id", "left").join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left").select(
-            "id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("leads", F.lit(False)).alias("leads")
+        nodes.join(degree, "id", "left").join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left").join(ends, "id", "left").select(
+            "id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("ends", F.lit(0.0)).alias("ends")
         ),
         "base",
     )
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("score"), "in_degree")
-    scores = materialize(base.select("id", F.lit(1.0 / n).alias("score"), "in_degree", "leads"), "rank")
-    for _ in range(rounds):
-        lost = scores.where("not leads").agg(F.sum("score")).first()[0] or 0.0  # one number
-        given = shares.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+    columns = ("id", "in_degree", "leads", "ends")
+    scores = materialize(base.select(*columns, F.lit(1.0 / n).alias("score")), "rank")
+    without = base.where("not leads").count()
+
+    def after(now: DataFrame, lost: float) -> DataFrame:
+        given = shares.join(now.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         score = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))
-        scores = materialize(base.join(given, "id", "left").select("id", score.alias("score"), "in_degree", "leads"), "rank")
+        return base.join(given, "id", "left").select(*columns, score.alias("score"))
+
+    done = 0
+    while done < rounds:
+        # two numbers: what is held without links now, and from them what will be after a round
+        told = scores.agg(F.sum(F.when(~F.col("leads"), F.col("score"))).alias("lost"), F.sum(F.col("score") * F.col("ends")).alias("given")).first()
+        lost = told.lost or 0.0
+        step = after(scores, lost)
+        if done + 1 < rounds:
+            step = after(step, without * ((1 - damping) + damping * lost) / n + damping * (told.given or 0.0))
+        done += 2
+        scores = materialize(step, "rank")
     return scores.select("id", "score", "in_degree")
 
 
@@ -175,9 +190,10 @@ def clusters(index: Index) -> DataFrame:
 def circles(links: DataFrame) -> DataFrame:
     """id and circle of the nodes on a circle: the strongly connected components with two nodes or more, by their smallest id.
 
-    Nodes without a way in or out are peeled first. Then in every round the
-    smallest id that reaches a node colours it, and what leads back to the colour's
-    own node within the colour is one component.
+    Nodes without a way in or out are peeled first. Then every node learns the
+    smallest id that reaches it and the smallest that it reaches: where both are the
+    same, it is on a circle with that node. The rest goes on with the links between
+    nodes that have both ids in common.
     """
     links = materialize(links.select("src", "dst").where("src <> dst").distinct(), "ring")
     size = links.count()
@@ -188,27 +204,23 @@ def circles(links: DataFrame) -> DataFrame:
         if size == before:
             break
     done = None
-    while links.limit(1).count():
+    while size:
         nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
-        color = materialize(nodes.select("id", F.col("id").alias("c")), "color")
-        while True:
-            given = links.join(color, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("c").alias("g"))
-            low = F.coalesce("g", "c") < F.col("c")
-            color = materialize(color.join(given, F.col("id") == F.col("dst"), "left").select("id", F.when(low, F.col("g")).otherwise(F.col("c")).alias("c"), low.alias("moved")), "color")
-            if not color.where("moved").limit(1).count():
-                break
-        a, b = color.select(F.col("id").alias("src"), F.col("c").alias("sc")), color.select(F.col("id").alias("dst"), F.col("c").alias("dc"))
-        inside = materialize(links.join(a, "src").join(b, "dst").where("sc = dc").select("src", "dst", F.col("sc").alias("c")), "inside")
-        back = materialize(color.where("id = c").select("id", "c"), "back")
-        while True:
-            more = inside.join(back, (F.col("dst") == F.col("id")) & (inside.c == back.c), "left_semi").select(F.col("src").alias("id"), "c").distinct().join(back, "id", "left_anti")
-            more = materialize(more, "more")
-            if not more.limit(1).count():
-                break
-            back = materialize(back.unionByName(more), "back")
-        done = back if done is None else done.unionByName(back)
-        rest = links.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti")
-        links = materialize(rest, "ring")
+        state = materialize(nodes.select("id", F.col("id").alias("f"), F.col("id").alias("b"), F.lit(True).alias("moved")), "color")
+        while state.where("moved").limit(1).count():
+            # the smallest id that reaches a node, and the smallest that it reaches
+            into = links.join(state, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("i")).agg(F.min("f").alias("g"))
+            out = links.join(state, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("o")).agg(F.min("b").alias("h"))
+            f, b = F.least("f", F.coalesce("g", "f")), F.least("b", F.coalesce("h", "b"))
+            both = state.join(into, F.col("id") == F.col("i"), "left").join(out, F.col("id") == F.col("o"), "left")
+            state = materialize(both.select("id", f.alias("f"), b.alias("b"), ((f < F.col("f")) | (b < F.col("b"))).alias("moved")), "color")
+        found = materialize(state.where("f = b").select("id", F.col("f").alias("c")), "found")
+        done = found if done is None else done.unionByName(found)
+        # what is on one circle has both ids in common
+        left = state.where("f <> b")
+        x, y = left.select(F.col("id").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1")), left.select(F.col("id").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2"))
+        links = materialize(links.join(x, "src").join(y, "dst").where("f1 = f2 and b1 = b2").select("src", "dst"), "ring")
+        size = links.count()
     if done is None:
         return links.select(F.col("src").alias("id"), F.col("dst").alias("circle")).limit(0)
     size = done.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
