@@ -16,19 +16,24 @@ from siftwood.operators import reads
 from siftwood.session import materialize
 
 
+#: Written tables that are read side by side before they are written as one.
+SEEN_TABLES = 8
+
+
 def reach(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """id and depth of every node that the links lead to from starts (id), the starts themselves left out; depth is the least number of steps."""
     links = materialize(links.select("src", "dst").where("src <> dst").distinct(), "links")
-    seen = materialize(starts.select(F.col("id").cast("bigint").alias("id"), F.lit(0).alias("depth")).distinct(), "reach")
+    edge = seen = materialize(starts.select(F.col("id").cast("bigint").alias("id"), F.lit(0).alias("depth")).distinct(), "reach")
     depth = 0
     while most is None or depth < most:
-        edge = seen.where(F.col("depth") == depth)
         found = links.join(edge, links.src == edge.id, "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        found = materialize(found.select("id", F.lit(depth + 1).alias("depth")), "edge")
-        if not found.limit(1).count():
+        edge = materialize(found.select("id", F.lit(depth + 1).alias("depth")), "edge")
+        if not edge.limit(1).count():
             break
-        seen = materialize(seen.unionByName(found), "reach")
         depth += 1
+        seen = seen.unionByName(edge)
+        if depth % SEEN_TABLES == 0:  # a union of a few written tables, then one table again
+            seen = materialize(seen, "reach")
     return seen.where("depth > 0")
 
 
