@@ -10,10 +10,11 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from siftwood.session import local_session
+    from siftwood.session import local_session, reachable
 
     session = local_session(4, "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
+    reachable(session)
     yield session
 
 
