@@ -188,11 +188,16 @@ def _positions(ids: np.ndarray, group: np.ndarray, parent: np.ndarray, has: np.n
 _OUT = "id bigint, parent bigint, root_id bigint, depth int, cycle boolean, top bigint, top_parent bigint, entry bigint, leave bigint"
 
 
-def _solve_rows(frame: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+def _linked(frame: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, places of their parents, parents, and whether there is one, each id once."""
     ids, group, parent, has = frame["id"], frame["grp"], frame["parent"], frame["has"]
     fresh = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
     ids, group, parent, has = ids[fresh], group[fresh], parent[fresh], has[fresh]
-    link = _positions(ids, group, parent, has)
+    return ids, _positions(ids, group, parent, has), parent, has
+
+
+def _solve_rows(frame: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+    ids, link, parent, has = _linked(frame)
     found = solve(ids, link)
     top = found.tree
     return pa.RecordBatch.from_arrays(
@@ -211,32 +216,37 @@ def _solve_rows(frame: dict[str, np.ndarray]) -> pa.RecordBatch | None:
     )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], slice_rows: int) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of whole groups; those of a partition come in order of (group, id), and a slice ends where a group ends."""
+    kept: list[dict[str, np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grp = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+        part = {
+            "grp": grp,
+            "id": batch.column(1).to_numpy(),
+            "has": batch.column(2).is_valid().to_numpy(zero_copy_only=False),
+            "parent": batch.column(2).fill_null(0).to_numpy(),
+        }
+        kept.append(part)
+        rows += batch.num_rows
+        if rows >= slice_rows:
+            whole = {k: np.concatenate([p[k] for p in kept]) for k in part}
+            cut = int(np.searchsorted(whole["grp"], whole["grp"][-1], side="left"))
+            if cut:
+                yield {k: v[:cut] for k, v in whole.items()}
+            kept = [{k: v[cut:] for k, v in whole.items()}]
+            rows = len(kept[0]["id"])
+    if rows:
+        yield {k: np.concatenate([p[k] for p in kept]) for k in kept[0]}
+
+
 def _solve_groups(slice_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the rows of a partition come in order of (group, id); a slice ends where a group ends
-        kept: list[dict[str, np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            grp = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            part = {
-                "grp": grp,
-                "id": batch.column(1).to_numpy(),
-                "has": batch.column(2).is_valid().to_numpy(zero_copy_only=False),
-                "parent": batch.column(2).fill_null(0).to_numpy(),
-            }
-            kept.append(part)
-            rows += batch.num_rows
-            if rows >= slice_rows:
-                whole = {k: np.concatenate([p[k] for p in kept]) for k in part}
-                cut = int(np.searchsorted(whole["grp"], whole["grp"][-1], side="left"))
-                if cut:
-                    yield _solve_rows({k: v[:cut] for k, v in whole.items()})
-                kept = [{k: v[cut:] for k, v in whole.items()}]
-                rows = len(kept[0]["id"])
-        if rows:
-            yield _solve_rows({k: np.concatenate([p[k] for p in kept]) for k in kept[0]})
+        for frame in _slices(batches, slice_rows):
+            yield _solve_rows(frame)
 
     return run
 
@@ -442,11 +452,98 @@ def descendants(df: DataFrame, node: str = "symbol_id", parent: str = "parent_id
 
 def pairs(df: DataFrame, ancestors: DataFrame, node: str = "symbol_id", parent: str = "parent_id", group: str = "file_id", *, group_rows: int = GROUP_ROWS) -> DataFrame:
     """ancestor and node for every node below one of the given ancestors, by interval containment within a tree."""
-    solved = materialize(intervals(df, node, parent, group, group_rows=group_rows).select("id", "top", "entry", "leave"), "tours")
+    solved = intervals(df, node, parent, group, group_rows=group_rows).select("id", "root_id", "depth", "cycle", "top", "entry", "leave")
+    solved = materialize(solved, "tours")
     a = ancestors.select(F.col(f"`{node}`").cast("bigint").alias("a_id")).distinct()
-    a = a.join(solved, F.col("a_id") == F.col("id")).select("a_id", F.col("top").alias("a_top"), F.col("entry").alias("a_entry"), F.col("leave").alias("a_leave"))
+    a = a.join(solved, F.col("a_id") == F.col("id")).select(
+        "a_id", F.col("top").alias("a_top"), F.col("entry").alias("a_entry"), F.col("leave").alias("a_leave"), F.when(F.col("cycle") & (F.col("depth") == 0), F.col("root_id")).alias("a_circle")
+    )
     inside = (F.col("top") == F.col("a_top")) & (F.col("entry") > F.col("a_entry")) & (F.col("leave") < F.col("a_leave"))
-    return solved.join(a, inside).select(F.col("a_id").alias("ancestor"), F.col("id").alias(node))
+    # from a node of a circle, the other trees on it are below too
+    around = F.col("cycle") & (F.col("root_id") == F.col("a_circle")) & (F.col("top") != F.col("a_top"))
+    told = solved.join(a, inside).unionByName(solved.join(a, around))
+    return told.select(F.col("a_id").alias("ancestor"), F.col("id").alias(node))
+
+
+def _walk_up(ids: np.ndarray, link: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ancestors and the nodes below them, a step upwards at a time; a walk on a circle ends before it comes round."""
+    got = solve(ids, link)
+    steps = got.depth.copy()
+    on_circle = got.cycle & (got.depth == 0)
+    if on_circle.any():
+        least, size = np.unique(got.root[on_circle], return_counts=True)
+        steps[got.cycle] += size[np.searchsorted(least, got.root[got.cycle])] - 1
+    here = np.flatnonzero(steps > 0)
+    at = link[here]
+    done = 1
+    while len(here):
+        yield ids[at], ids[here]
+        more = steps[here] > done
+        here, at, done = here[more], link[at[more]], done + 1
+
+
+_BELOW = "symbol bigint, below bigint"
+
+
+def below(df: DataFrame, node: str = "symbol_id", parent: str = "parent_id", group: str = "file_id", *, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """node and below_id for every node and every node below it: as many rows as all depths together.
+
+    On a circle every node is below every other, and so are the trees that hang off
+    it. No node is below itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _slices(batches, SLICE_ROWS):
+            ids, link = _linked(frame)[:2]
+            for above, under in _gathered(_walk_up(ids, link)):
+                yield pa.RecordBatch.from_arrays([pa.array(above), pa.array(under)], names=["symbol", "below"])
+
+    def small(nodes: DataFrame) -> DataFrame:
+        return nodes.repartition("grp").sortWithinPartitions("grp", "id").select("grp", "id", "parent").mapInArrow(run, _BELOW)
+
+    nodes = _nodes(df, node, parent, group)
+    large = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select("grp")
+    if not large.limit(1).count():
+        told = small(nodes)
+    else:
+        nodes = materialize(nodes, "nodes")
+        large = materialize(large.select("grp", F.lit(True).alias("large")), "groups")
+        marked = nodes.alias("n").join(large.alias("l"), F.col("n.grp").eqNullSafe(F.col("l.grp")), "left").select("n.*", "l.large")
+        told = small(marked.where("large is null")).unionByName(_below_large(marked.where("large").select("grp", "id", "parent")))
+    return told.select(F.col("symbol").alias(node), F.col("below").alias("below_id"))
+
+
+def _below_large(nodes: DataFrame) -> DataFrame:
+    """The same columns for groups too large for a task: ancestors by doubling, then the rest of each circle."""
+    base = materialize(_solve_large(nodes).select("id", "parent", "root_id", "depth", "cycle", "top"), "tops")
+    up = F.when(F.col("id") != F.col("top"), F.col("parent"))
+    start = F.when(up.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(up))
+    walk = base.select("id", up.alias("up"), start.alias("above"), up.isNotNull().alias("open"))
+
+    def step(a: DataFrame) -> DataFrame:
+        b = a.select(F.col("id").alias("o_id"), F.col("up").alias("o_up"), F.col("above").alias("o_above"), F.col("open").alias("o_open"))
+        return a.join(b, F.col("up") == F.col("o_id"), "left").select(
+            "id", F.col("o_up").alias("up"), F.concat("above", F.coalesce("o_above", F.array().cast("array<bigint>"))).alias("above"), F.coalesce("o_open", F.lit(False)).alias("open")
+        )
+
+    walked = _double(materialize(walk, "above"), "above", step)
+    trees = walked.select(F.explode("above").alias("symbol"), F.col("id").alias("below"))
+    ring = base.where("cycle and depth = 0").select(F.col("id").alias("symbol"), F.col("root_id").alias("circle"))
+    around = base.where("cycle").join(ring, (F.col("root_id") == F.col("circle")) & (F.col("symbol") != F.col("top")))
+    return trees.unionByName(around.select("symbol", F.col("id").alias("below")))
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs of arrays, short ones put together."""
+    kept, n = [], 0
+    for pair in pairs:
+        kept.append(pair)
+        n += len(pair[0])
+        if n >= rows:
+            yield np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+            kept, n = [], 0
+    if kept:
+        yield np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
 
 
 def _path_rows(ids: np.ndarray, grp: np.ndarray, parent: np.ndarray, has: np.ndarray, names: list[str | None]) -> pa.RecordBatch:

@@ -14,10 +14,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every symbol with its root, depth, state and the number of symbols below it."""
+    """Every symbol with its root, depth, state and the number of symbols below it in its tree; p3_below names them."""
     return hierarchy.descendants(table(spark, folder, "symbols"))
 
 
+def p3_below(spark: SparkSession, folder: str) -> DataFrame:
+    """symbol_id and below_id: every symbol with all symbols below it, those around a circle included."""
+    return hierarchy.below(table(spark, folder, "symbols"))
+
+
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Every symbol with its path of names from the root down."""
     return hierarchy.paths(table(spark, folder, "symbols"))
@@ -38,7 +43,7 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return references.report(_cases(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_descendants, p3_paths, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_descendants, p3_below, p3_paths, p6_found, p6_report)}
 
 _WALK = """
 WITH RECURSIVE s AS (
@@ -117,6 +122,7 @@ WITH latest AS (
 
 SQL = {
     "p3_found": _P3,
+    "p3_below": _WALK.format(start="WHERE parent_id IS NOT NULL") + "SELECT DISTINCT a AS symbol_id, symbol_id AS below_id FROM (SELECT symbol_id, unnest(seen) AS a FROM told) WHERE a <> symbol_id",
     "p6_found": _P6 + "SELECT edge_id, side, reason FROM cases",
     "p6_report": _P6
     + "SELECT side, type AS referred, strftime(seen_at, '%Y-%m') AS month, reason, count(*) AS n FROM cases GROUP BY ALL",

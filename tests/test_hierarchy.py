@@ -76,6 +76,18 @@ def test_paths_and_descendants(spark, limit):
     assert sorted((r.ancestor, r.symbol_id) for r in H.pairs(frame(spark, rows), wanted, group_rows=limit).collect()) == [(1, 2), (1, 3), (1, 4), (5, 6)]
 
 
+@pytest.mark.parametrize("limit", [H.GROUP_ROWS, 3])
+def test_below_names_every_symbol_below(spark, limit):
+    rows = [(1, None, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (5, 9, 1), (6, 5, 1), (7, 1, 2)]
+    rows += [(20, 22, 3), (21, 20, 3), (22, 21, 3), (23, 21, 3), (24, 23, 3), (30, 30, 3), (31, 30, 3)]
+    want = {(1, 2), (1, 3), (2, 3), (5, 6), (23, 24), (30, 31)} | {(a, b) for a in (20, 21, 22) for b in range(20, 25) if a != b}
+    got = [tuple(r) for r in H.below(frame(spark, rows), group_rows=limit).select("symbol_id", "below_id").collect()]
+    assert sorted(got) == sorted(want)
+    asked = frame(spark, [(20, None, 3), (30, None, 3), (1, None, 1)])
+    some = [tuple(r) for r in H.pairs(frame(spark, rows), asked, group_rows=limit).select("ancestor", "symbol_id").collect()]
+    assert sorted(some) == sorted(p for p in want if p[0] in (1, 20, 30))
+
+
 def test_empty(spark):
     assert H.found(frame(spark, [])).count() == 0
     assert H.paths(frame(spark, [])).count() == 0
