@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from siftwood.operators.extraction import in_file_order, stretches
 
 KINDS = ("function", "method")
 
@@ -386,23 +389,33 @@ def _doc_above(lines: list[str], at: int, grammar: Grammar) -> str | None:
 
 
 def source_pairs(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """chunk_id, name, signature, description, start_line and end_line of the documented functions in the chunks of known languages."""
+    """chunk_id, name, signature, description, start_line and end_line of the documented functions in files of known languages.
+
+    A file is read whole, so a doc or a body may go on over its chunks; chunk_id is
+    the chunk that holds the signature.
+    """
     newest = files.where("file_id is not null").groupBy("file_id").agg(F.max_by("lang", "indexed_at").alias("lang"))
-    known = newest.where(F.col("lang").isin(*GRAMMARS))
-    rows = chunks.select("chunk_id", "file_id", "start_line", "text").join(known, "file_id").select("chunk_id", "start_line", "text", "lang")
+    rows = in_file_order(chunks, newest.where(F.col("lang").isin(*GRAMMARS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got, out = batch.to_pydict(), [[] for _ in range(6)]
-            for i, text in enumerate(got["text"]):
-                base = 1 if got["start_line"][i] is None else got["start_line"][i]
-                for name, signature, doc, first, last in islands(text or "", got["lang"][i]):
-                    said = statements(doc, name)
-                    if said:
-                        for column, value in zip(out, (got["chunk_id"][i], name, signature, "\n".join(said), base + first, base + last), strict=True):
-                            column.append(value)
-            kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["chunk_id", "name", "signature", "description", "start_line", "end_line"])
-
+        out: list[list] = [[] for _ in range(6)]
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["chunk_id", "name", "signature", "description", "start_line", "end_line"])
+            for column in out:
+                column.clear()
+            return made
+
+        for part in stretches(batches):
+            for name, signature, doc, first, last in islands("\n".join(part.lines), part.lang):
+                said = statements(doc, name)
+                if said:
+                    for column, value in zip(out, (part.chunks[first], name, signature, "\n".join(said), part.numbers[first], part.numbers[last]), strict=True):
+                        column.append(value)
+            if len(out[0]) >= 4096:
+                yield batch()
+        yield batch()
+
+    kinds = [to_arrow_type(rows.schema["chunk_id"].dataType), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
     schema = T.StructType([rows.schema["chunk_id"], *[T.StructField(c, T.StringType()) for c in ("name", "signature", "description")], T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
     return rows.mapInArrow(run, schema).dropDuplicates(["chunk_id", "name", "start_line"])

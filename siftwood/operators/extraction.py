@@ -275,6 +275,56 @@ _ARROW = [
 ]
 
 
+@dataclass
+class Stretch:
+    """Lines of a file that follow on each other, with the number and the chunk of each."""
+
+    lang: str | None
+    lines: list[str] = field(default_factory=list)
+    numbers: list[int] = field(default_factory=list)
+    chunks: list[int] = field(default_factory=list)
+
+
+def in_file_order(chunks: DataFrame, langs: DataFrame) -> DataFrame:
+    """chunk_id, file_id, start_line, text and lang of the chunks, those of a file in one partition and in order."""
+    picked = chunks.select("chunk_id", "file_id", F.col("start_line").cast("int").alias("start_line"), F.col("text").cast("string").alias("text"))
+    rows = picked.join(langs.select("file_id", F.col("lang").cast("string").alias("lang")), "file_id").select("chunk_id", "file_id", "start_line", "text", "lang")
+    # not by file_id itself: the shuffle would fold into that of the join, whose partitions may be split where they are skewed
+    return rows.repartition(F.hash("file_id")).sortWithinPartitions("file_id", "start_line", "chunk_id")
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretch]:
+    """The stretches of the files in the batches of in_file_order, one at a time.
+
+    Chunks leave out blank stretches, so one blank line stands for a gap. A repeated
+    chunk counts once; one without start_line, or that begins within the chunk
+    before it, stands alone.
+    """
+    at, last, expected, made = None, None, None, Stretch(None)
+    for batch in batches:
+        for chunk, file, start, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if text is None or (file, chunk) == (at, last):
+                continue
+            lines = text.replace("\r\n", "\n").split("\n")
+            if len(lines) > 1 and not lines[-1]:
+                lines.pop()
+            if file != at or start is None or expected is None or start < expected:
+                if made.lines:
+                    yield made
+                made = Stretch(lang)
+            elif start > expected:
+                made.lines.append("")
+                made.numbers.append(expected)
+                made.chunks.append(last)
+            begin = 1 if start is None else start
+            made.lines += lines
+            made.numbers += range(begin, begin + len(lines))
+            made.chunks += [chunk] * len(lines)
+            at, last, expected = file, chunk, None if start is None else begin + len(lines)
+    if made.lines:
+        yield made
+
+
 def extracted(texts: DataFrame, key: str = "file_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """key, symbols, edges, resources and chunks of every text; an unknown language gives chunks only."""
 

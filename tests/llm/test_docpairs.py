@@ -53,3 +53,14 @@ def test_pairs(spark):
     chunks = spark.createDataFrame([(1, 7, 5, "# Adds them up.\ndef add(a):\n    return 2\n"), (2, 7, None, None), (3, 8, 1, "# Adds.\ndef b(): pass")], "chunk_id long, file_id long, start_line int, text string")
     files = spark.createDataFrame([(7, "python", "2024"), (7, "", "2023"), (8, None, "2024")], "file_id long, lang string, indexed_at string")
     assert [(r.name, r.start_line, r.end_line) for r in D.source_pairs(chunks, files).collect()] == [("add", 6, 7)]
+
+
+def test_source_pairs_go_on_over_chunks(spark):
+    go = ["/* Closes the store", "for good. */", "func Close(a int) error {", "\tif a > 1 {", "\t\treturn nil", "\t}", "", "\treturn nil", "}", "// Opens it again.", "func Open() {", "\tx()"]
+    cuts = [(1, 1, 1), (2, 2, 2), (3, 3, 4), (4, 5, 6), (5, 8, 10), (6, 11, 12)]  # the blank line 7 is left out
+    rows = [(c, 7, a, "".join(x + "\n" for x in go[a - 1 : b])) for c, a, b in cuts]
+    rows += [rows[2], (9, 8, 3, "func Other() {\n}\n"), (10, 7, None, "}\n")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, file_id long, start_line int, text string")
+    files = spark.createDataFrame([(7, "go", "2024"), (8, "go", "2024")], "file_id long, lang string, indexed_at string")
+    got = sorted((r.chunk_id, r.name, r.description, r.start_line, r.end_line) for r in D.source_pairs(chunks, files).collect())
+    assert got == [(3, "Close", "Closes the store\nfor good.", 3, 9), (6, "Open", "Opens it again.", 11, 12)]
