@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 40
@@ -380,7 +380,13 @@ def generic_lines(texts: DataFrame, key: str, start_line: str = "start_line", te
     return rows.withColumn("what", what).where("what is not null").select(key, "line", "what", F.trim(name).alias("name"))
 
 
-def sentence_column(doc: Column) -> Column:
-    """The first sentence of one-line comments as a column expression."""
-    bare = F.regexp_replace(doc, r"^\s*(?:///|//|/\*+|#|\"\"\"|\*)+\s?|\s*(?:\*/|\"\"\")\s*$", "")
-    return F.trim(F.when(bare.contains(". "), F.concat(F.split(bare, r"\. ")[0], F.lit("."))).otherwise(bare))
+def sentences(rows: DataFrame, key: str, doc: str = "doc") -> DataFrame:
+    """key and sentence, the first of the first paragraph, of every row with a doc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = pa.array([doc_sentence(x) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), told], names=[key, "sentence"])
+
+    picked = rows.where(F.col(doc).isNotNull()).select(key, F.col(doc).cast("string").alias("doc"))
+    return picked.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, sentence string")

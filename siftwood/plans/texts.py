@@ -69,7 +69,7 @@ def _answers(s, d):
 
 
 QUERIES = {
-    "d04_sentences": lambda s, d: Index(s, d).symbols.where(F.col("doc").isNotNull() & ~F.col("doc").contains("\n")).select("symbol_id", T.sentence_column(F.col("doc")).alias("sentence")),
+    "d04_sentences": lambda s, d: T.sentences(Index(s, d).symbols, "symbol_id"),
     "d05_windows": lambda s, d: T.windows(_docs(s, d), "doc_id"),
     "x01_extracted": _extracted,
     "x27_generic": _generic,

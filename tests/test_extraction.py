@@ -66,3 +66,12 @@ def test_operator(spark):
     assert X.table_of(got, "symbols").count() == 2
     assert {(r.file_id, r.text) for r in X.table_of(got, "chunks").collect() if r.file_id > 1} == {(2, "a\n\nb")}
     assert X.extracted(rows.limit(0)).count() == 0
+
+
+def test_sentences_of_docs_with_many_lines(spark, tmp_path):
+    from siftwood.plans import texts
+
+    rows = [(1, "// Reads it. Then more."), (2, "/**\n * Reads it\n * twice. Then more.\n */"), (3, "# One\n#\n# Two."), (4, None)]
+    spark.createDataFrame(rows, "symbol_id long, doc string").write.parquet(str(tmp_path / "symbols.parquet"))
+    got = {r.symbol_id: r.sentence for r in texts.QUERIES["d04_sentences"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Reads it.", 2: "Reads it twice.", 3: "One"}
