@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from siftwood.functions.paths import language
 from siftwood.operators.extraction import in_file_order, stretches
 
 KINDS = ("function", "method")
@@ -392,10 +393,13 @@ def source_pairs(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """chunk_id, name, signature, description, start_line and end_line of the documented functions in files of known languages.
 
     A file is read whole, so a doc or a body may go on over its chunks; chunk_id is
-    the chunk that holds the signature.
+    the chunk that holds the signature. A null or blank lang falls back on the path.
     """
-    newest = files.where("file_id is not null").groupBy("file_id").agg(F.max_by("lang", "indexed_at").alias("lang"))
-    rows = in_file_order(chunks, newest.where(F.col("lang").isin(*GRAMMARS)))
+    path = F.col("rel_path") if "rel_path" in files.columns else F.lit(None).cast("string")
+    newest = files.where("file_id is not null").groupBy("file_id").agg(F.max(F.struct("indexed_at", path.alias("path"), "lang")).alias("row"))
+    told = F.lower(F.trim(F.coalesce("row.lang", F.lit(""))))
+    langs = newest.select("file_id", F.when(told != "", told).otherwise(language(F.col("row.path"))).alias("lang"))
+    rows = in_file_order(chunks, langs.where(F.col("lang").isin(*GRAMMARS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(6)]

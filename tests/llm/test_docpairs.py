@@ -64,3 +64,11 @@ def test_source_pairs_go_on_over_chunks(spark):
     files = spark.createDataFrame([(7, "go", "2024"), (8, "go", "2024")], "file_id long, lang string, indexed_at string")
     got = sorted((r.chunk_id, r.name, r.description, r.start_line, r.end_line) for r in D.source_pairs(chunks, files).collect())
     assert got == [(3, "Close", "Closes the store\nfor good.", 3, 9), (6, "Open", "Opens it again.", 11, 12)]
+
+
+def test_source_pairs_without_lang(spark):
+    text = "# Adds them up.\ndef add(a):\n    return 2\n"
+    chunks = spark.createDataFrame([(i, i, 1, text) for i in range(1, 6)], "chunk_id long, file_id long, start_line int, text string")
+    rows = [(1, "r/a.py", "", 2), (1, "r/a.txt", "go", 1), (2, "r/b.PY", None, 1), (3, "r/c.py", "  ", 1), (4, "r/d.txt", "", 1), (5, "r/e.py", "markdown", 1)]
+    files = spark.createDataFrame(rows, "file_id long, rel_path string, lang string, indexed_at int")
+    assert sorted(r.chunk_id for r in D.source_pairs(chunks, files).collect()) == [1, 2, 3]
