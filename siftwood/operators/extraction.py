@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WINDOW = 40
 MOST_DOC_LINES = 15
@@ -342,6 +343,32 @@ def extracted(texts: DataFrame, key: str = "file_id", lang: str = "lang", text:
     return picked.mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, {_NESTED}")
 
 
+def symbols_of_files(chunks: DataFrame, langs: DataFrame) -> DataFrame:
+    """chunk_id, name, kind, start_line, end_line and complexity of the symbols of files read whole, with the chunk and the lines of the file they stand in."""
+    rows = in_file_order(chunks, langs.where(F.col("lang").isin(*LANGUAGES)))
+    names = ["chunk_id", "name", "kind", "start_line", "end_line", "complexity"]
+    kinds = [to_arrow_type(rows.schema["chunk_id"].dataType), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*told, strict=True) if told else [[] for _ in kinds]
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            told.clear()
+            return made
+
+        for part in stretches(batches):
+            for x in extract("\n".join(part.lines), part.lang)["symbols"]:
+                first, last = x["start_line"] - 1, x["end_line"] - 1
+                told.append((part.chunks[first], x["name"], x["kind"], part.numbers[first], part.numbers[last], x["complexity"]))
+            if len(told) >= 4096:
+                yield batch()
+        yield batch()
+
+    return rows.mapInArrow(run, f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, name string, kind string, start_line int, end_line int, complexity int")
+
+
 def table_of(rows: DataFrame, what: str, key: str = "file_id") -> DataFrame:
     """One of the nested tables as rows."""
     return rows.select(key, F.posexplode(what).alias("ordinal", "row")).select(key, "ordinal", "row.*")

@@ -30,8 +30,7 @@ def _docs(s, d):
 
 def _extracted(s, d):
     index = Index(s, d)
-    rows = index.chunks.select("chunk_id", "file_id", "text").join(index.files.select("file_id", "lang"), "file_id")
-    return T.table_of(T.extracted(rows, "chunk_id"), "symbols", "chunk_id").select("chunk_id", "name", "kind", "start_line", "end_line", "complexity")
+    return T.symbols_of_files(index.raw("chunks"), index.files.select("file_id", "lang"))
 
 
 def _generic(s, d):

@@ -75,3 +75,17 @@ def test_sentences_of_docs_with_many_lines(spark, tmp_path):
     spark.createDataFrame(rows, "symbol_id long, doc string").write.parquet(str(tmp_path / "symbols.parquet"))
     got = {r.symbol_id: r.sentence for r in texts.QUERIES["d04_sentences"](spark, str(tmp_path)).collect()}
     assert got == {1: "Reads it.", 2: "Reads it twice.", 3: "One"}
+
+
+def test_symbols_go_on_over_chunks(spark, tmp_path):
+    from siftwood.plans import texts
+
+    go = ["package a", "func Close(a int) error {", "\tif a > 1 {", "\t\treturn nil", "\t}", "", "\tfor a < 3 && a > 0 {", "\t}", "}", "func Open() {", "}"]
+    cuts = [(1, 1, 4), (2, 5, 5), (3, 7, 8), (4, 9, 11)]  # the blank line 6 is left out
+    rows = [(c, 7, a, "".join(x + "\n" for x in go[a - 1 : b])) for c, a, b in cuts]
+    rows += [rows[0], (9, 8, 41, "def f():\n    if x:\n"), (10, 8, 43, "        return 1 or 2\n")]
+    spark.createDataFrame(rows, "chunk_id long, file_id long, start_line int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    files = [(7, "go", 1, 1, "h"), (8, "python", 1, 1, "h")]
+    spark.createDataFrame(files, "file_id long, lang string, indexed_at int, size int, hash string").write.parquet(str(tmp_path / "files.parquet"))
+    got = sorted(tuple(r) for r in texts.QUERIES["x01_extracted"](spark, str(tmp_path)).select("chunk_id", "name", "start_line", "end_line", "complexity").collect())
+    assert got == [(1, "Close", 2, 9, 4), (4, "Open", 10, 11, 1), (9, "f", 41, 43, 3)]
