@@ -78,7 +78,7 @@ PLACEHOLDERS = frozenset(
 _PROVIDER = re.compile(r"(?<![A-Za-z0-9_/+-])(?:" + "|".join(PROVIDERS) + r")(?![A-Za-z0-9_])")
 _PREFIX = r"sk-[A-Za-z0-9_-]{4}|AKIA[A-Z0-9]|ASIA[A-Z0-9]|gh[pousr]_|github_pat_|glpat-|npm_|xox[abeprs]-|AIza|eyJ|hf_|pypi-|dop_v1_|[rs]k_(?:live|test)_|SG\.|whsec_|shp(?:at|ss|ca)_"
 _TRIGGER = re.compile(
-    r"(?i:pass(?!\s*$|ed\b|es\b|ing\b)|pwd|secret|token|key[\"']?\s*[:=]|setauth|auth[a-z]*\s*[\"(:=]|bearer\s|\blogin\b|credential|basic\s|\scurl\s|^curl\s)"
+    r"(?i:pass(?!\s*$|ed\b|es\b|ing\b)|pwd|secret|token|key[_\-\d]*[\"'`]?\]?\s*[:=]|set_?api_?key\s*\(|api key\b|setauth|auth[a-z]*\s*[\"(:=]|bearer\s|\blogin\b|credential|basic\s|\bcurl\b)"
     r"|://[^\s/:@\"'`]*:[^\s/@]+@|PRIVATE KEY-----|(?<![A-Za-z0-9])(?:" + _PREFIX + r")",
     re.M,
 )

@@ -31,6 +31,17 @@ def test_what_is_a_credential():
         assert lines(text) == [1], text
 
 
+def test_every_rule_is_reached():
+    value = "kR7vWq" + "2ZtX"
+    for text in (
+        f'config["api_key"] = "{value}"', f'os.environ["API_KEY"] = "{value}"', f"cfg[`api_key`] = '{value}'", f'setApiKey("{value}")', f'c.set_api_key ("{value}")',
+        f'apikey2 = "{value}"', f"The api key is {value}", f"x=$(curl -u search:{value} https://x/hook)",
+    ):
+        assert lines(text) == [1], text
+    for text in ('config["key"] = "kR7vWq2ZtX"', 'config["api_key"] = load("a")', 'setApiKey("example")', "the api key is stored elsewhere"):
+        assert lines(text) == [], text
+
+
 def test_what_is_none():
     for text in (
         "", "   \n", "password = ''", 'password = prompt("Password: ")', "DB_PASS=changeme", "api_key: <your-key>", "api_key: xxxxxxxxxxxxxxxxxxxx",
