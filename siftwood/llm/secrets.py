@@ -100,6 +100,8 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:\\n|\\r|[\s\"'`+,.;:#*/\\>|-])*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*(?:\\n|\s)+)*[\"'`+#*/\s]*(?P<b>[A-Za-z0-9+/=]{16,})")
 _KEY_LINE = re.compile(r"[\s\"'`#*/;>+-]*[A-Za-z0-9+/]{8,}={0,2}(?:\\n)?[\s\"'`+,.;\\)\]]*\Z")
+_LAST_LINE = re.compile(r"[\s\"'`#*/;>+-]*[A-Za-z0-9+/]+={0,2}(?:\\n)?[\s\"'`+,.;\\)\]]*\Z")
+_CHECKSUM = re.compile(r"[\s\"'`#*/;>+-]*=[A-Za-z0-9+/]{4}(?:\\n)?[\s\"'`+,.;\\)\]]*\Z")
 _LITERAL_LINE = re.compile(r"[ \t]*(?:(?:\+|\.\.|\.)[ \t]*)?(?P<q>[\"'`])(?P<v>[^\s\"'`]{2,})(?P=q)")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _DIGEST_BEFORE = re.compile(r"(?i)(?:sha\d*|md5|digest|fingerprint|checksum|integrity|hash)\W{0,4}\Z")
@@ -210,14 +212,23 @@ def _key_blocks(text: str, found: Found) -> None:
     before = _BEGIN.search(text)
     if first_end and not (before and before.start() < first_end.start()):
         lines = text[: first_end.start()].split("\n")
-        if all(_KEY_LINE.match(x.rstrip("\r")) for x in lines[:-1] if x.strip()) and re.fullmatch(r"[\s\"'`#*/;>+-]*", lines[-1]):
+        if _key_tail(lines[:-1]) and re.fullmatch(r"[\s\"'`#*/;>+-]*", lines[-1]):
             found.takes, found.taken = "key", [(0, first_end.end())]
     elif not before and not first_end:
         lines = [x.rstrip("\r") for x in text.split("\n") if x.strip()]
-        if lines and _KEY_LINE.match(lines[0]) and all(_KEY_LINE.match(x) for x in lines):
+        # a short last line may also be a piece of another literal
+        if lines and (all(_KEY_LINE.match(x) for x in lines) or _key_tail(lines) and not _LITERAL_LINE.match(text)):
             found.takes, found.taken = "through", [(0, len(text.rstrip("\r\n")))]
 
 
+def _key_tail(lines: list[str]) -> bool:
+    """Whether lines can be the last of a key: whole lines, a last one of any length and the checksum of a PGP key."""
+    lines = [x.rstrip("\r") for x in lines if x.strip()]
+    if lines and _CHECKSUM.match(lines[-1]):
+        lines.pop()
+    return all(_KEY_LINE.match(x) for x in lines[:-1]) and (not lines or _LAST_LINE.match(lines[-1]) is not None)
+
+
 def _body_end(text: str, at: int) -> int:
     """Where the key lines that follow `at` end."""
     stop = text.find("\n", at)
@@ -228,7 +239,7 @@ def _body_end(text: str, at: int) -> int:
         stop = text.find("\n", place)
         stop = len(text) if stop < 0 else stop
         if not _KEY_LINE.match(text[place:stop].rstrip("\r")):
-            return place - 1
+            return len(text) if _key_tail(text[place : place + 512].split("\n")) and len(text) - place <= 512 else place - 1
         place = stop + 1
     return len(text)
 
@@ -236,7 +247,8 @@ def _body_end(text: str, at: int) -> int:
 def scan(text: str) -> Found:
     """The credentials of one chunk of text."""
     found = Found()
-    if "PRIVATE KEY" in text or _KEY_LINE.match(text[: max(0, text.find("\n"))]):
+    first = text.partition("\n")[0].rstrip("\r")
+    if "PRIVATE KEY" in text or _KEY_LINE.match(first) or _LAST_LINE.match(first) or _CHECKSUM.match(first):
         _key_blocks(text, found)
     hits: list[list[tuple[int, int]]] = []
     place = 0

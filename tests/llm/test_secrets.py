@@ -95,6 +95,23 @@ def test_key_over_chunks(spark):
     assert {(r.file_id, r.redacted) for r in S.updated_files(files, S.redact(frame(spark, rows))).collect()} == {(1, 5), (9, 0)}
 
 
+def test_short_tail_of_a_key_over_chunks(spark):
+    a, b = BODY.split("\n")
+    rows = [
+        (1, 1, 1, f"{BEGIN}\n{a}\n"), (2, 1, 3, f"{b}\nAg==\n{END}\ny = 2\n"),
+        (3, 2, 1, f"{BEGIN}\n{a}\n"), (4, 2, 3, f"xYz12w==\n=aB3d\n{END}\n"),
+        (5, 3, 1, f"{BEGIN}\n{a}\nAg==\n"), (6, 3, 4, f"=aB3d\n{END}\n"),
+        (7, 4, 1, f"{BEGIN}\n{a}\n"), (8, 4, 3, "Ag==\n"), (9, 4, 4, "=aB3d\r\n"), (10, 4, 5, f"{END}\n"),
+        (11, 5, 1, f"{BEGIN}\n{a}\n"), (12, 5, 3, f"x = f(1)\n{END}\n"),
+        (13, 6, 1, "end\n"), (14, 6, 2, "Ag==\n"),
+    ]
+    got = {(r.chunk_id, r.line) for r in S.found(frame(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 3), (3, 1), (4, 3), (5, 1), (6, 4), (7, 1), (8, 3), (9, 4), (10, 5), (11, 1)}
+    done = {r.chunk_id: r.text for r in S.redact(frame(spark, rows)).collect()}
+    assert not any(x in done[c] for c in range(1, 11) for x in ("Ag==", "xYz12w", "=aB3d", END)) and done[2].endswith("y = 2\n")
+    assert done[12] == rows[11][3] and done[13] == "end\n" and done[14] == "Ag==\n"
+
+
 def test_empty(spark):
     assert S.found(frame(spark, [])).count() == 0
     assert S.redact(frame(spark, [])).count() == 0
