@@ -1,15 +1,15 @@
 """Source files that nobody in the repository wrote by hand, with the reason.
 
-Each chunk is lexed into comments, literals and the skeleton that is left, and the
-layout that a formatter would give the skeleton is measured: how many lines its
-statements and blocks take, and how deep they stand. These figures add up over the
-chunks of a file, so no text is shuffled or gathered. Compared with the layout as
-it is,
+Each chunk is lexed into comments, literals and the skeleton that is left. The
+lines that a formatter would give the skeleton are estimated by its marks `;`, `{`
+and `}`; nothing is emitted again, and depth is not measured. These figures add up
+over the chunks of a file, so no text is shuffled or gathered. Compared with the
+layout as it is,
 
 - extreme expansion marks minified code: many canonical lines for each line there is;
 - literal dominance marks data: hardly anything but literals and the marks between them;
-- perfect uniformity, no line that stands elsewhere than a formatter puts it, supports
-  a generator. In code formatted on save it is common by hand too, so it is reported
+- perfect uniformity, every line with an even number of leading blanks and none at its
+  end, supports a generator. In code formatted on save it is common by hand too, so it is reported
   (`profiles`) and never decides alone.
 
 Place, name and the comment at the head of a file tell vendored and generated files.
