@@ -1,12 +1,12 @@
 """Encoding of texts with a public tokenizer, and back.
 
-Texts are encoded a whole Arrow batch at a time by the tokenizers library; each
-executor process loads the vocabulary once. A byte-level vocabulary merges within
-words only, so the ids of a word don't depend on what stands around it: a text is
-cut into words by the vocabulary's own pattern, the library's model encodes each
-word that is new, written byte by byte in the vocabulary's characters, and words
-that were seen before take their ids from a bounded memo. Texts with characters
-outside the blocks whose classes are fixed go to the library whole.
+Texts are encoded by the tokenizers library over Arrow batches; each executor
+process loads the vocabulary once. No word of a byte-level vocabulary reaches from
+a character into the white space behind it, and merges stay within words, so a
+text falls apart there into segments that are encoded alike wherever they stand.
+The library gets every segment that is new to the process in one call a batch,
+whatever its script or length, and cuts words and merges bytes itself; segments
+met before take their ids from a bounded memory.
 
 Token ids come back as list<int>, on request with the span of every token in bytes
 and in characters.
@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,8 +34,8 @@ from pyspark.sql import types as T
 #: Where the vocabulary files lie; a parameter of every operator.
 TOKENIZERS = os.environ.get("SIFTWOOD_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
-#: A batch is given on in parts of about so many ids.
-PART_IDS = 1 << 20
+#: A batch is worked on in parts of about so many characters.
+PART_CHARS = 1 << 22
 
 
 @lru_cache(maxsize=4)
@@ -90,64 +89,57 @@ def decode_ids(ids: list[int], path: str) -> str:
     return b"".join(table[i] for i in ids).decode("utf-8", errors="replace")
 
 
-#: Words whose ids a process remembers; at so many the memo starts anew.
-MEMO_WORDS = 300_000
-#: Characters outside these blocks send a text to the library whole: the blocks
-#: hold Latin letters and general punctuation, whose classes no longer change.
-_BLOCKS = [*range(0x250), *range(0x2000, 0x2070)]
-_ODD = re.compile(r"[^\x00-\u024f\u2000-\u206f]")
-
-
-def _class(letter: str) -> str:
-    """The characters of the blocks whose general category begins with letter, as the inside of a class."""
-    return "".join(re.escape(chr(x)) for x in _BLOCKS if unicodedata.category(chr(x))[0] == letter)
-
-
-@lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern[str]:
-    """The pattern by which byte-level vocabularies cut words, for texts of the blocks."""
-    letter, number = _class("L"), _class("N")
-    space = "\\t-\\r \\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f"
-    return re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
-    )
-
-
-class _Memo(dict):
-    """The ids of words, from the model of the library where they are new."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.model = tokenizer(path).model
-        alphabet = {b: c for c, b in byte_alphabet().items()}
-        self.written = [alphabet[b] for b in range(256)]
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        text = "".join([self.written[b] for b in word.encode("utf-8", "surrogatepass")])
-        ids = self[word] = tuple(token.id for token in self.model.tokenize(text))
-        return ids
+#: Segments whose ids a process remembers; at so many the memory starts anew.
+MEMORY_SEGMENTS = 400_000
+#: Longer segments are encoded anew in every batch, so that the memory stays small.
+MEMORY_CHARS = 64
+#: What byte-level patterns call white space.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: No word of a byte-level pattern goes on from a character into white space behind it, so a text falls apart there.
+_SEGMENT = re.compile(rf"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 @lru_cache(maxsize=4)
-def _memo(path: str) -> _Memo | None:
-    """The memo of a vocabulary, or None if it isn't plain byte-level BPE."""
+def _separable(path: str) -> bool:
+    """Whether a vocabulary's words never reach over a segment: byte-level words, no normalizer, no added tokens but special ones."""
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     cut = made.get("pre_tokenizer") or {}
     plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-    return _Memo(path) if plain and not made.get("normalizer") and made.get("model", {}).get("type") == "BPE" else None
+    return plain and not made.get("normalizer") and all(t.get("special") for t in made.get("added_tokens") or [])
+
+
+@lru_cache(maxsize=4)
+def _memory(path: str) -> dict[str, tuple[int, ...]]:
+    """The ids of segments that this process has met in a vocabulary."""
+    return {}
+
+
+def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """The ids of each text; none for a null or empty one. The library gets all segments that are new in one call."""
+    if not _separable(path):
+        known = [(i, t) for i, t in enumerate(texts) if t]
+        out = [np.zeros(0, np.int32) for _ in texts]
+        for (i, _), made in zip(known, tokenizer(path).encode_batch_fast([t for _, t in known], add_special_tokens=False), strict=True):
+            out[i] = np.array(made.ids, np.int32)
+        return out
+    memory = _memory(path)
+    if len(memory) >= MEMORY_SEGMENTS:
+        memory.clear()
+    cut = [_SEGMENT.findall(t) if t else [] for t in texts]
+    fresh = list(set(chain.from_iterable(cut)).difference(memory))
+    for segment, made in zip(fresh, tokenizer(path).encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        memory[segment] = tuple(made.ids)
+    out = [np.fromiter(chain.from_iterable(map(memory.__getitem__, c)), np.int32) for c in cut]
+    for segment in fresh:
+        if len(segment) > MEMORY_CHARS:
+            del memory[segment]
+    return out
 
 
 def encode_text(text: str | None, path: str) -> np.ndarray:
-    """The ids of a text; none for a null or empty one."""
-    if not text:
-        return np.zeros(0, np.int32)
-    memo = _memo(path)
-    if memo is None or _ODD.search(text):
-        return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.int32)
-    return np.fromiter(chain.from_iterable(map(memo.__getitem__, word_pattern().findall(text))), np.int32)
+    """The ids of one text."""
+    return encode_texts([text], path)[0]
 
 
 def spans(text: str, ids: list[int], path: str) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -179,16 +171,16 @@ def _list_array(rows: list) -> pa.Array:
 
 
 def _parts(texts: list[str | None], path: str) -> Iterator[list[np.ndarray]]:
-    """The ids of the texts, in parts of about PART_IDS."""
-    rows, size = [], 0
+    """The ids of the texts, in parts of about PART_CHARS characters."""
+    some, size = [], 0
     for text in texts:
-        rows.append(encode_text(text, path))
-        size += len(rows[-1])
-        if size >= PART_IDS:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+        some.append(text)
+        size += len(text or "")
+        if size >= PART_CHARS:
+            yield encode_texts(some, path)
+            some, size = [], 0
+    if some:
+        yield encode_texts(some, path)
 
 
 def encode(
@@ -231,7 +223,7 @@ def count_tokens(df: DataFrame, keys: list[str], text: str = "text", *, path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(encode_text(text, path)) for text in batch.column(n).to_pylist()]
+            sizes = [len(ids) for part in _parts(batch.column(n).to_pylist(), path) for ids in part]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(n)), pa.array(sizes, pa.int64())], names=[f.name for f in fields]
             )

@@ -22,6 +22,8 @@ def test_ids_are_those_of_the_library():
     rng = random.Random(3)
     letters = [chr(x) for x in (*range(0x250), *range(0x2000, 0x2070))] + ["a", " ", "\n", "'s", "the ", "12"] * 60
     made = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(400)]
+    letters = [chr(x) for x in range(0x3100) if not 0xD800 <= x < 0xE000] + ["語", "한", "🧩", "x"] * 50
+    made += ["".join(rng.choice([*rng.sample(letters, 6), " ", "\n", "a", "!", "\u3000"]) for _ in range(rng.randint(1, 300))) for _ in range(400)]
     for text in TEXTS + made:
         assert K.encode_text(text, PATH).tolist() == library(text), repr(text)
 
@@ -37,6 +39,21 @@ def test_round_trip_and_spans():
             assert len((text or "")[:x].encode()) <= a and b <= len((text or "")[:y].encode())
 
 
+def test_every_character_beside_white_space():
+    texts = [f"a{c} b{c}{c}  {c} !{c}! \n{c}x {c}\n1" for c in map(chr, range(1, 0xD800))]
+    want = K.tokenizer(PATH).encode_batch(texts, add_special_tokens=False)
+    assert all(got.tolist() == w.ids for got, w in zip(K.encode_texts(texts, PATH), want, strict=True))
+
+
+def test_character_spans_are_the_offsets_of_the_library():
+    for text in TEXTS:
+        if text:
+            made = K.tokenizer(PATH).encode(text, add_special_tokens=False)
+            _, _, c0, c1 = K.spans(text, made.ids, PATH)
+            # the library may leave a leading blank out of an offset
+            assert all(a <= x and y == b for a, b, (x, y) in zip(c0, c1, made.offsets, strict=True)), text
+
+
 def test_split_characters_overlap():
     ids = library("🧩")
     assert len(ids) > 1
