@@ -14,11 +14,14 @@ of terms is judged once, and the documents take the verdict from it.
 
 Defined results: null, empty and blank texts hold nothing; a value that stands in a
 text several times gives one row; a document given twice gives its rows once; a
-null doc_id keeps its rows under null; extra columns are ignored.
+null doc_id keeps its rows under null, and is cleaned like any other; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -35,6 +38,10 @@ from siftwood.session import materialize
 
 #: Share of a term's occurrences in the shape of a name that must reveal a person, at least.
 SHARE = 0.3
+#: Characters between a word that announces a phone number and the number, at most, and letters of such a word.
+CUE_REACH, CUE_WORD = 24, 32
+#: Words before a name among which its cue is looked for; no cue has more.
+CUE_WORDS = 6
 #: Bits of information about a person from which a term counts as a name.
 DISCLOSURE = 1.0
 
@@ -80,7 +87,7 @@ _MAIL_AFTER = re.compile(r"(?:['’]s)?[ \t]*[<(\[]{1,2}(?:mailto:)?[\w.+%'’-]
 
 _BRACKETED = re.compile(r"[\[({][ \t]?[aA][tT][ \t]?[\])}][ \t]?")
 _SPELLED = re.compile(r"[\w-]+(?:\.[\w-]+)*(?:[ \t]?[\[({]|[ \t](?i:dot)[ \t])")
-_LOCAL = re.compile(r"[\w.+%'’-]+\Z")
+_LOCAL = re.compile(r"[\w.+%'’-]")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.|[ \t]?[\[({][ \t]?(?:\.|(?i:dot|punkt|point|punto))[ \t]?[\])}][ \t]?|[ \t](?:dot|DOT|Dot)[ \t])[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _HIDDEN_DOT = re.compile(r"[\[({]|[ \t](?i:dot)[ \t]")
 
@@ -94,7 +101,7 @@ _PHONE = [
     re.compile(r"[6-9]\d{2}(?:[ .-]\d{2,3}){2,3}|[6-9]\d{8}"),
 ]
 _PHONE_CUE = re.compile(
-    r"(?i)(?:\b(?:tel|tél|tfno|tlf|phone|fone|fon|mobile?|móvil|cell|fax|call|pager|text|sms|whatsapp|portable|ruf\w*|anruf\w*|telefon\w*|téléphone|teléfono|handy|joignable|llám\w*|number is|numéro|número|notfall|ring|dial|reach me|hotline)\b[^\n]{0,24})\Z"
+    r"(?i)(?:\b(?:tel|tél|tfno|tlf|phone|fone|fon|mobile?|móvil|cell|fax|call|pager|text|sms|whatsapp|portable|ruf\w*|anruf\w*|telefon\w*|téléphone|teléfono|handy|joignable|llám\w*|number is|numéro|número|notfall|ring|dial|reach me|hotline)\b[^\n]{0,%d})\Z" % CUE_REACH
 )
 _NO_PHONE = re.compile(r"(?i)(?:\b(?:build|ticket|checksum|section|row|rows|version|commit|hash|issue|order|invoice|line|lines|page|id|number|serial|batch|trace|case|isbn|issn|port|step|revision|rev|chapter|fila|zeile|ligne|línea)\b[ #:.=n°o]{0,4})\Z")
 _ID_CUE = re.compile(rf"(?i)(?<!\w)(?:{ID_WORDS})\b\.?")
@@ -151,24 +158,39 @@ def _places(text: str, what: str) -> Iterator[int]:
         at = text.find(what, at + 1)
 
 
+def _word_start(text: str, place: int) -> int:
+    """Where the stretch without white space begins that ends at place."""
+    return max(text.rfind(c, 0, place) for c in " \t\n\r") + 1
+
+
+def _line_start(text: str, place: int, lines: int = 0) -> int:
+    """Where the line of place begins, or a line so many above it."""
+    for _ in range(lines):
+        place = max(0, text.rfind("\n", 0, place))
+    return text.rfind("\n", 0, place) + 1
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """The spans of mail addresses, also of such written out in words."""
     signs = [(i, i + 1) for i in _places(text, "@")]
     signs += [(m.start() - (text[m.start() - 1 : m.start()] in (" ", "\t")), m.end()) for m in _BRACKETED.finditer(text)]
     for word in (" at ", " AT ", " At "):
         signs += [(i, i + 4) for i in _places(text, word) if _SPELLED.match(text, i + 4)]
+    done = 0
     for begin, end in sorted(signs):
-        left = _LOCAL.search(text, max(0, begin - 72), begin)
-        if not left:
-            continue
         right = _HOST.match(text, end)
         if not right:
             continue
-        local, sign, host = left[0], text[begin:end].strip(), right[0]
-        start = left.start() + len(local) - len(local.lstrip(".-'’%+"))
+        low = begin
+        while low > done and _LOCAL.match(text[low - 1]):
+            low -= 1
+        if low == begin:
+            continue
+        local, sign, host = text[low:begin], text[begin:end].strip(), right[0]
+        start = low + len(local) - len(local.lstrip(".-'’%+"))
         stop = right.end()
         plain = sign == "@"
-        if start >= begin or text[start - 1 : start] in ("@", "/", ":") and text[max(0, start - 7) : start].lower() != "mailto:" and "//" in text[max(0, start - 40) : start]:
+        if start >= begin or text[start - 1 : start] in ("@", "/", ":") and text[max(0, start - 7) : start].lower() != "mailto:" and "//" in text[_word_start(text, start) : start]:
             continue
         if text[start:begin].lower() in ("git", "hg", "svn", "ssh", "cvs") or text[stop : stop + 1] in (":", "/") and re.match(r":[\w./-]|/\w", text[stop : stop + 2]) and plain:
             continue
@@ -177,6 +199,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             continue
         if sign.lower() == "at" and not _HIDDEN_DOT.search(host):
             continue
+        done = stop
         yield start, stop
 
 
@@ -193,10 +216,10 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             digits = sum(c.isdigit() for c in number)
             if not 9 <= digits <= 15 or "  " in number:
                 continue
-            before = text[max(0, start - 40) : start]
+            before = text[max(_line_start(text, start), start - CUE_REACH - CUE_WORD) : start]
             if _NO_PHONE.search(before):
                 continue
-            cued = _PHONE_CUE.search(before.rpartition("\n")[2]) is not None
+            cued = _PHONE_CUE.search(before) is not None
             for i, form in enumerate(_PHONE):
                 if not form.fullmatch(number):
                     continue
@@ -214,16 +237,17 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 def id_numbers(text: str) -> Iterator[tuple[int, int]]:
     """The spans of identity numbers, which a word for such a number announces."""
-    done = -1
+    done, line, stop, ends = -1, 0, -1, []
     for hit in _SIX.finditer(text):
-        line = text.rfind("\n", 0, hit.start()) + 1
-        cue = None
-        for cue in _ID_CUE.finditer(text, max(line, hit.start() - 56, done), hit.start()):
-            pass  # the last word before the digits
-        if cue is None:
+        if hit.start() >= stop:  # a new line: where the words for such numbers end in it
+            line, stop = _line_start(text, hit.start()), text.find("\n", hit.start())
+            stop = len(text) if stop < 0 else stop
+            ends = [m.end() for m in _ID_CUE.finditer(text, line, stop)]
+        at = bisect.bisect_right(ends, hit.start()) - 1
+        if at < 0:
             continue
-        gap = _ID_GAP.match(text, cue.end())
-        value = _ID_VALUE.match(text, gap.end() if gap else cue.end())
+        gap = _ID_GAP.match(text, ends[at])
+        value = _ID_VALUE.match(text, gap.end() if gap else ends[at])
         if value and value.start() <= hit.start() < value.end() and value.start() > done and sum(c.isdigit() for c in value[0]) >= 6:
             done = value.end()
             yield value.span()
@@ -235,7 +259,9 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
     for m in _POSTCODE.finditer(text):
         if m.start() and (text[m.start() - 1].isdigit() or text[m.start() - 1] in "./_"):
             continue
-        low, high = max(0, m.start() - 160), min(len(text), m.end() + 80)
+        # an address has three lines at most, so two above the postcode and one below
+        low, high = _line_start(text, m.start(), 2), text.find("\n", text.find("\n", m.end()) + 1 or len(text))
+        high = len(text) if high < 0 else high
         if windows and low <= windows[-1][1]:
             windows[-1] = (windows[-1][0], high)
         else:
@@ -246,26 +272,37 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
-def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, str, bool]]:
-    """Where a run of name-like terms begins, the run, and whether its surroundings reveal a person."""
+def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+    """Where a run of name-like terms begins, and the run, outside of the spans taken, which are in order."""
     place = 0
     while True:
         m = _RUN.search(text, place)
         if not m:
             return
-        start, run = m.start(), m["run"]
-        place = m.end()
-        if any(a < m.end() and start < b for a, b in taken):
-            place = max(start + 1, min(b for a, b in taken if a < m.end() and start < b))
+        start, stop = m.span()
+        at = bisect.bisect_left(taken, (stop, stop))
+        while at and taken[at - 1][1] > start:
+            at -= 1
+        if at < len(taken) and taken[at][0] < stop:
+            place = max(start + 1, taken[at][1])
             continue
-        yield start, run, False
+        place = stop
+        yield start, m["run"]
+
+
+def _before(text: str, place: int) -> str:
+    """The last words of the line before place, as many as a cue may have."""
+    low = place
+    for _ in range(CUE_WORDS):
+        low = max(0, text.rfind(" ", 0, low))
+    return text[low:place].rpartition("\n")[2]
 
 
 def cued(text: str, start: int, stop: int) -> bool:
     """Whether what stands before start or behind stop reveals that a person is named."""
     if _MAIL_AFTER.match(text, stop):
         return True
-    before = text[max(text.rfind("\n", 0, start) + 1, start - 48) : start]
+    before = _before(text, start)
     last = before.rstrip(" \t\"'(")
     if not last or not (last[-1] in ":=" or last.rpartition(" ")[2].strip("(@,;.>\"").lower() in _LAST_WORDS):
         return False
@@ -282,9 +319,9 @@ def pieces(run: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def observe(text: str) -> tuple[list[tuple[str, str]], dict[str, bool], Counter[tuple[str, bool]]]:
-    """The values of a text, its runs, and the counts of its terms: (term, whether a person is revealed)."""
-    values: list[tuple[str, str]] = []
+def observe(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]], Counter[tuple[str, bool]]]:
+    """(kind, start, end) of the values of a text, the spans of its runs, and the counts of its terms: (term, whether a person is revealed)."""
+    values: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
     terms: Counter[tuple[str, bool]] = Counter()
     digits = re.search(r"\d", text) is not None
@@ -292,23 +329,24 @@ def observe(text: str) -> tuple[list[tuple[str, str]], dict[str, bool], Counter[
         if finder is None:
             continue
         for a, b in finder(text):
-            if any(a < y and x < b for x, y in taken):
+            at = bisect.bisect_left(taken, (b, b))
+            if at and taken[at - 1][1] > a:
                 continue
-            values.append((kind, squeezed(text[a:b])))
-            taken.append((a, b))
+            values.append((kind, a, b))
+            taken.insert(at, (a, b))
             if kind == "email":
                 for part in re.split(r"[^A-Za-z'’-]+", re.split(r"[@\s\[({]", text[a:b])[0]):
                     if len(part) > 3:
                         terms[(fold(part), True)] += 1
-    found: dict[str, bool] = {}
-    for start, run, _ in runs(text, taken):
+    found: list[tuple[int, int]] = []
+    for start, run in runs(text, taken):
         parts = pieces(run)
         # the words before a name may be capitalised too, so each term may be the first of it
         lead = 0
         hit = cued(text, start, start + len(run))
         if not hit:
             for i, (kind, a, _b) in enumerate(parts[1:], 1):
-                if kind in ("token", "initial") and _CUE.search(text[max(0, start - 24) : start + a].rpartition("\n")[2]):
+                if kind in ("token", "initial") and _CUE.search(_before(text, start + a)):
                     hit, lead = True, i
                     break
         # the first two terms behind the cue, one after an initial; what follows may be the next sentence
@@ -318,8 +356,7 @@ def observe(text: str) -> tuple[list[tuple[str, str]], dict[str, bool], Counter[
                 said = hit and i >= lead and left > 0
                 left -= said
                 terms[(fold(run[a:b]), said)] += 1
-        key = squeezed(run)
-        found[key] = found.get(key, False) or hit
+        found.append((start, start + len(run)))
     return values, found, terms
 
 
@@ -328,8 +365,8 @@ def is_name(term: str, names: set[str]) -> bool:
     return term in names or "-" in term and all(part in names for part in term.split("-"))
 
 
-def judged(run: str, names: set[str]) -> list[str]:
-    """The names in a run, given which of its terms are names."""
+def judged(run: str, names: set[str]) -> list[tuple[int, int, str]]:
+    """The names in a run, given which of its terms are names: first and last of its pieces, and the name."""
     parts = pieces(run)
     marks = "".join({"suffix": "s", "initial": "i"}.get(k, "n" if is_name(fold(run[a:b]), names) else "x") for k, a, b in parts)
     out = []
@@ -341,63 +378,79 @@ def judged(run: str, names: set[str]) -> list[str]:
             a += 1  # a title before a full name, no initial
         if m[0].endswith("i") and m[0].count("n") >= 1 and m[0].count("i") == 1 and m[0].count("n") > 1 and "," not in run[parts[a][1] : parts[b - 1][2]]:
             b -= 1
-        out.append(squeezed(run[parts[a][1] : parts[b - 1][2]]))
+        out.append((a, b - 1, squeezed(run[parts[a][1] : parts[b - 1][2]])))
     return out
 
 
-def disclosure(revealing: float, total: float, share: float) -> float:
-    """Bits of information that a term gives about a person being meant: log of its share of revealing occurrences over the corpus's."""
-    return log2(max(revealing / total, 1e-9) / max(share, 1e-9))
+_COUNTS = "term string, n bigint, m bigint"
+_SPAN = "kind string, start int, stop int, found string"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("found", pa.string())]))
 
 
-_ROWS = "doc_id bigint, kind string, found string, n bigint, m bigint"
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def scanned(documents: DataFrame) -> DataFrame:
-    """Values (kind, found), runs (kind 'run') and term counts (kind 'term', n altogether, m revealing) of all documents."""
+def scanned(documents: DataFrame, digests: bool = False) -> DataFrame:
+    """Per document its spans (kind, start, stop, found; kind 'run' for runs of terms), and per batch the counts of terms.
+
+    A span tells its value with white space squeezed. With digests a document is
+    known by the digest of its text, so that copies and rows without an id have
+    their spans too; else by doc_id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, found, total, reveal = [], [], [], [], []
+            ids, digest, spans = [], [], []
             counts: Counter[str] = Counter()
             marked: Counter[str] = Counter()
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text or text.isspace():
                     continue
                 values, some, terms = observe(text)
-                for kind, value in {*values}:
-                    ids.append(doc), kinds.append(kind), found.append(value), total.append(None), reveal.append(None)
-                for value in some:
-                    ids.append(doc), kinds.append("run"), found.append(value), total.append(None), reveal.append(None)
+                told = [(k, a, b, squeezed(text[a:b])) for k, a, b in values] + [("run", a, b, squeezed(text[a:b])) for a, b in some]
+                if not digests:
+                    told = list({(k, found): (k, a, b, found) for k, a, b, found in told}.values())
+                if told:
+                    ids.append(doc), digest.append(_digest(text) if digests else None)
+                    spans.append([dict(zip(("kind", "start", "stop", "found"), x, strict=True)) for x in told])
                 for (term, hit), n in terms.items():
                     counts[term] += n
                     if hit:
                         marked[term] += n
-            for term, n in counts.items():
-                ids.append(None), kinds.append("term"), found.append(term), total.append(n), reveal.append(marked[term])
+            none, d = [None] * len(counts), len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(found, pa.string()), pa.array(total, pa.int64()), pa.array(reveal, pa.int64())],
-                names=["doc_id", "kind", "found", "n", "m"],
+                [
+                    pa.array(ids + none, pa.int64()), pa.array(digest + none, pa.binary()), pa.array(spans + none, _SPANS),
+                    pa.array([None] * d + list(counts), pa.string()), pa.array([None] * d + list(counts.values()), pa.int64()), pa.array([None] * d + [marked[t] for t in counts], pa.int64()),
+                ],
+                names=["doc_id", "digest", "spans", "term", "n", "m"],
             )
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ROWS)
+    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, f"doc_id bigint, digest binary, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>, {_COUNTS}")
 
 
 def lexicon(rows: DataFrame, *, share: float = SHARE, bits: float = DISCLOSURE) -> DataFrame:
-    """term, n, m and bits of the terms that disclose a person, from the counts over all documents."""
-    terms = rows.where("kind = 'term'").groupBy(F.col("found").alias("term")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    whole = rows.where("kind = 'term'").agg((F.sum("m") / F.sum("n")).alias("base")).first()
+    """term, n, m and bits of the terms that disclose a person, from the counts over all documents.
+
+    The disclosure of a term is the information in bits that it gives about a person
+    being meant: the logarithm of its share of revealing occurrences over that of
+    the corpus. Where nearly every term reveals one, no term can be far above the
+    corpus, so the bits asked for are at most those of a share of one half.
+    """
+    terms = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    whole = rows.where("term is not null").agg((F.sum("m") / F.sum("n")).alias("base")).first()
     base = max(float(whole.base or 0), 1e-9)  # one number for the corpus
+    asked = min(bits, log2(max(0.5 / base, 1e-9)))
     scored = terms.withColumn("bits", F.log2(F.greatest(F.col("m") / F.col("n"), F.lit(1e-9)) / F.lit(base)))
-    # where nearly all terms are names the base rate is high and no term can be far above it
-    return scored.where((F.col("m") / F.col("n") >= share) & ((F.col("bits") >= bits) | (F.col("m") / F.col("n") >= 0.5))).select("term", "n", "m", "bits")
+    return scored.where((F.col("m") / F.col("n") >= share) & (F.col("bits") >= asked)).select("term", "n", "m", "bits")
 
 
-def found(documents: DataFrame) -> DataFrame:
-    """doc_id, kind and found of every distinct value of personal information in a document."""
-    rows = materialize(scanned(documents), "pii")
+def verdicts(rows: DataFrame) -> DataFrame:
+    """run, first, last and name of every name in a run of terms, each distinct run judged once."""
     names = lexicon(rows)
-    asked = rows.where("kind = 'run'").select(F.col("found").alias("run")).distinct()
+    asked = rows.where("spans is not null").select(F.explode("spans").alias("s")).where("s.kind = 'run'").select(F.col("s.found").alias("run")).distinct()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,41 +463,86 @@ def found(documents: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = [], []
+            out: list[list] = [[] for _ in range(4)]
             for text, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for name in judged(text, set(terms)):
-                    texts.append(text), out.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(out, pa.string())], names=["run", "name"])
+                    for column, value in zip(out, (text, *name), strict=True):
+                        column.append(value)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["run", "first", "last", "name"])
 
     known = asked.mapInArrow(split, "run string, term string").join(names.select("term"), "term")
-    verdict = known.groupBy("run").agg(F.collect_set("term").alias("terms")).mapInArrow(judge, "run string, name string")
-    named = rows.where("kind = 'run'").select("doc_id", F.col("found").alias("run")).join(verdict, "run").select("doc_id", F.lit("name").alias("kind"), F.col("name").alias("found"))
-    plain = rows.where("kind not in ('run', 'term')").select("doc_id", "kind", "found")
-    return plain.unionByName(named).distinct()
+    return known.groupBy("run").agg(F.collect_set("term").alias("terms")).mapInArrow(judge, "run string, first int, last int, name string")
+
+
+def found(documents: DataFrame) -> DataFrame:
+    """doc_id, kind and found of every distinct value of personal information in a document."""
+    rows = materialize(scanned(documents), "pii")
+    told = rows.where("spans is not null").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.kind", "s.found")
+    named = told.where("kind = 'run'").select("doc_id", F.col("found").alias("run")).join(verdicts(rows), "run").select("doc_id", F.lit("name").alias("kind"), F.col("name").alias("found"))
+    return told.where("kind <> 'run'").unionByName(named).distinct()
 
 
 def sanitized(documents: DataFrame) -> DataFrame:
-    """doc_id, text and n_replaced: every value found replaced by the placeholder of its type, the rest as it is."""
-    values = found(documents).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "found")).alias("values"))
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(values, "doc_id", "left")
+    """doc_id, text, n_replaced and spans: every value found replaced by the placeholder of its type, the rest as it is.
+
+    What is found is replaced where it stands, by its offsets, and spans tells the
+    offsets in characters of the text as it was. Spans meet their documents by the
+    digest of the text, so a row without doc_id is cleaned like any other and
+    copies are worked out once. One row per row of documents; a null text stays null.
+    """
+    rows = materialize(scanned(documents, digests=True), "pii")
+    # copies of a text have the same spans: one of each, folded before the shuffle
+    once = rows.where("spans is not null").groupBy("digest").agg(F.first("spans").alias("spans"))
+    told = materialize(once.select("digest", F.posexplode("spans").alias("pos", "s")).select("digest", "s.*"), "spans")
+    plain = told.where("kind <> 'run'").select("digest", "kind", "start", "stop", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    named = told.where("kind = 'run'").join(verdicts(rows), F.col("found") == F.col("run")).select("digest", F.lit("name").alias("kind"), "start", "stop", "first", "last")
+    values = plain.unionByName(named).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "first", "last"))).alias("values"))
+    digest = F.pandas_udf(_digests, "binary")
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.withColumn("digest", digest("text")).join(values, "digest", "left").select("doc_id", "text", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
+            out: list[list] = [[] for _ in range(3)]
             for text, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                done, n = replace(text, [(v["kind"], v["found"]) for v in some]) if text and some else (text, 0)
-                texts.append(done), counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_replaced"])
-
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_replaced", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
-
-
-def replace(text: str, values: list[tuple[str, str]]) -> tuple[str, int]:
-    """text with the values, longest first, replaced by their placeholders."""
-    kinds = {}
-    for kind, value in values:
-        kinds.setdefault(value, kind)
-    ordered = sorted(kinds, key=len, reverse=True)
-    pattern = re.compile("|".join(rf"(?<!\w){re.escape(v)}(?!\w)".replace(r"\ ", r"\s+") for v in ordered))
-    return pattern.subn(lambda m: PLACEHOLDERS[kinds[squeezed(m[0])]], text)
+                spans = placed(text, some or []) if text else []
+                done = masked(text, spans) if spans else text
+                for column, value in zip(out, (done, len(spans), [{"kind": k, "start": a, "stop": b} for a, b, k in spans]), strict=True):
+                    column.append(value)
+            kinds = (pa.string(), pa.int32(), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "text", "n_replaced", "spans"])
+
+    tail = T.StructType.fromDDL("text string, n_replaced int, spans array<struct<kind:string,start:int,stop:int>>")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *tail.fields]))
+
+
+def _digests(texts):
+    """The digest of each text of a series; none for a null."""
+    return texts.map(lambda t: None if t is None else _digest(t))
+
+
+def placed(text: str, values: list[dict]) -> list[tuple[int, int, str]]:
+    """(start, stop, kind) of the values in order, none over another; of two that overlap the earlier one, then the longer."""
+    out: list[tuple[int, int, str]] = []
+    for v in values:
+        a, b = v["start"], v["stop"]
+        if v["first"] is not None:
+            parts = pieces(text[a:b])
+            a, b = a + parts[v["first"]][1], a + parts[v["last"]][2]
+        out.append((a, b, v["kind"]))
+    out.sort(key=lambda x: (x[0], -x[1]))
+    kept: list[tuple[int, int, str]] = []
+    for span in out:
+        if not kept or span[0] >= kept[-1][1]:
+            kept.append(span)
+    return kept
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text with the spans, which are in order, replaced by the placeholders of their kinds."""
+    out, at = [], 0
+    for a, b, kind in spans:
+        out += [text[at:a], PLACEHOLDERS[kind]]
+        at = b
+    return "".join([*out, text[at:]])

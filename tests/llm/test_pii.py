@@ -65,3 +65,31 @@ def test_names_come_from_the_corpus(spark):
 def test_empty(spark):
     assert I.found(frame(spark, [])).count() == 0
     assert I.sanitized(frame(spark, [])).count() == 0
+
+
+def test_sanitized_by_offset(spark):
+    rows = [(i, t) for i, t in enumerate(PEOPLE)] + [(100 + i, "Blast Radius counts. A Context Packet cites.") for i in range(30)]
+    rows += [(None, "Contact: Edwin Kestrow <anna.keller@x.example>"), (None, "Contact: Edwin Kestrow <anna.keller@x.example>"), (300, "write to a@b.example, not ba@b.example, or a@b.example"), (None, None), (None, "")]
+    got = I.sanitized(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert [r.text for r in got if r.doc_id is None and r.text] == ["Contact: [NAME] <[EMAIL]>"] * 2
+    one = next(r for r in got if r.doc_id == 300)
+    assert one.text == "write to [EMAIL], not [EMAIL], or [EMAIL]" and one.n_replaced == 3
+    assert [(s.kind, rows[[r[0] for r in rows].index(300)][1][s.start : s.stop]) for s in one.spans] == [("email", "a@b.example"), ("email", "ba@b.example"), ("email", "a@b.example")]
+    # a second pass finds nothing, and what lies outside the spans is as it was
+    again = frame(spark, [(r.doc_id, r.text) for r in got])
+    assert sum(r.n_replaced for r in I.sanitized(again).collect()) == 0
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add(t)
+    for r in got:
+        if r.n_replaced:
+            assert any(r.text == I.masked(t, [(s.start, s.stop, s.kind) for s in r.spans]) for t in texts[r.doc_id] if t)
+
+
+def test_long_local_parts_and_distant_words():
+    local = "a" * 300
+    assert spans(I.emails, f"to {local}@x.example now") == [f"{local}@x.example"]
+    assert spans(I.id_numbers, "passport number:" + " " * 90 + "LH4233316") == ["LH4233316"]
+    name = " ".join(["Longward" * 12] * 3)
+    assert spans(I.addresses, f"at 198 {name} Street, Wexcombe QX10 9BE") == [f"198 {name} Street, Wexcombe QX10 9BE"]
