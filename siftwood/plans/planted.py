@@ -100,22 +100,21 @@ QUERIES = {
     "w03_packed": lambda s, d: C.packed(_items(s), 1800).select("position", "rel_path", "tokens"),
 }
 
-_DESCEND = (
+_UPWARDS = (
     _WALK.format(start="")
     + """, st AS (
   SELECT symbol_id, CASE WHEN looped THEN list_min(list_slice(seen, enters + 1, len(seen))) ELSE cur END AS root_id, CAST(CASE WHEN looped THEN enters ELSE depth END AS INTEGER) AS depth,
     CASE WHEN looped THEN 'cycle' WHEN beyond IS NOT NULL AND there IS NULL THEN 'broken' WHEN beyond IS NOT NULL THEN 'crossing' WHEN depth = 0 THEN 'root' ELSE 'ok' END AS state,
     CASE WHEN looped THEN list_slice(seen, 1, enters + 1) ELSE seen END AS up
   FROM told
-), below AS (SELECT a AS symbol_id, count(*) AS n FROM (SELECT symbol_id, unnest(list_slice(up, 2, len(up))) AS a FROM st) GROUP BY a)
+)
 """
 )
 
 SQL = {
-    "p3_paths": _DESCEND
+    "p3_paths": _UPWARDS
     + ", nm AS (SELECT symbol_id, any_value(name) AS name FROM symbols WHERE symbol_id IS NOT NULL GROUP BY symbol_id), w AS (SELECT symbol_id, root_id, depth, unnest(up) AS a, generate_subscripts(up, 1) AS i FROM st) "
     "SELECT w.symbol_id, root_id, depth, list(nm.name ORDER BY i DESC) AS path FROM w JOIN nm ON nm.symbol_id = w.a GROUP BY ALL",
-    "p3_descendants": _DESCEND + "SELECT symbol_id, root_id, depth, state, coalesce(n, 0) AS n_below FROM st LEFT JOIN below USING (symbol_id)",
     "a12_savings": f"SELECT count(*) AS answers, CAST(sum(floor(greatest(0, b - a) * 0.7 / 4)) AS BIGINT) AS saved_tokens FROM {_values(ANSWERS, 'id, b, a')}",
     "a15_score": f"SELECT e AS errors, w AS warnings, i AS infos, greatest(0, 100 - 5 * e - 2 * w) AS score FROM (SELECT count(*) FILTER (WHERE s = 'error') AS e, count(*) FILTER (WHERE s = 'warn') AS w, count(*) FILTER (WHERE s = 'info') AS i FROM {_values(FINDINGS, 'c, s')})",
     "a16_churn": S.sql("SELECT rel_path, count(*) AS changes FROM e JOIN f USING (file_id) WHERE kind = 'includes' GROUP BY rel_path HAVING count(*) >= 5 ORDER BY changes DESC, rel_path LIMIT 10"),

@@ -14,8 +14,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every symbol with its root, depth, state and the number of symbols below it in its tree; p3_below names them."""
-    return hierarchy.descendants(table(spark, folder, "symbols"))
+    """Every symbol with its root, depth, state and the number of symbols below it, around circles too; p3_below names them."""
+    return hierarchy.descendants(table(spark, folder, "symbols")).select("symbol_id", "root_id", "depth", "state", "n_below")
+
+
+def p3_tours(spark: SparkSession, folder: str) -> DataFrame:
+    """Every symbol with its tree, its place on the tour and its circle, from which all symbols below it can be told."""
+    return hierarchy.descendants(table(spark, folder, "symbols")).select("symbol_id", "top", "entry", "leave", "circle")
 
 
 def p3_below(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +48,7 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return references.report(_cases(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_descendants, p3_below, p3_paths, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_descendants, p3_tours, p3_below, p3_paths, p6_found, p6_report)}
 
 _WALK = """
 WITH RECURSIVE s AS (
@@ -73,6 +78,21 @@ FROM told
 """
 )
 
+_P3_DESCENDANTS = (
+    _WALK.format(start="")
+    + """
+, named AS (
+  SELECT a AS symbol_id, count(DISTINCT symbol_id) AS n_below FROM (SELECT symbol_id, unnest(seen) AS a FROM told) WHERE a <> symbol_id GROUP BY 1
+)
+SELECT t.symbol_id,
+  CASE WHEN looped THEN list_min(list_slice(seen, enters + 1, len(seen))) ELSE cur END AS root_id,
+  CAST(CASE WHEN looped THEN enters ELSE depth END AS INTEGER) AS depth,
+  CASE WHEN looped THEN 'cycle' WHEN beyond IS NOT NULL AND there IS NULL THEN 'broken' WHEN beyond IS NOT NULL THEN 'crossing' WHEN depth = 0 THEN 'root' ELSE 'ok' END AS state,
+  coalesce(n.n_below, 0) AS n_below
+FROM told t LEFT JOIN named n ON n.symbol_id = t.symbol_id
+"""
+)
+
 _P6 = """
 WITH latest AS (
   SELECT entity_type AS type, entity_id AS id, max(deleted_at) AS deleted_at FROM tombstones GROUP BY 1, 2
@@ -122,6 +142,7 @@ WITH latest AS (
 
 SQL = {
     "p3_found": _P3,
+    "p3_descendants": _P3_DESCENDANTS,
     "p3_below": _WALK.format(start="WHERE parent_id IS NOT NULL") + "SELECT DISTINCT a AS symbol_id, symbol_id AS below_id FROM (SELECT symbol_id, unnest(seen) AS a FROM told) WHERE a <> symbol_id",
     "p6_found": _P6 + "SELECT edge_id, side, reason FROM cases",
     "p6_report": _P6
