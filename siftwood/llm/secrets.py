@@ -9,6 +9,11 @@ a call that logs in, in an address between user and host, in an authorization
 header, after the word password, behind the prefix of a known service, or between
 the marks of a private key.
 
+Both are always asked for. How unnatural a value must be depends on where it stands:
+`NATURAL` gives the characters per subword below which it counts, the lower the less
+the place says by itself. Which of the two is looked at first changes no result, and
+words are cheaper to find than subwords, so places are looked for first.
+
 Placeholders, references to where a secret is kept, digests, ids, public keys,
 certificates and masked values are none.
 
@@ -16,8 +21,9 @@ A literal may go on over several lines, and a key over several chunks of a file.
 What is left open at the end of a chunk is passed on to the chunk that begins on
 the next line: a few flags per chunk are put in order, never texts.
 
-Masks keep the text around a value and the line structure: a value becomes
-`[redacted]`, and `spans` gives the places in the original text.
+Masks keep the offsets of all that stands around a value, and its line breaks: a value
+becomes `[redacted]` filled up with `*` to its own length, or stars alone where it is
+shorter than that. `spans` gives the places, the same in the text before and after.
 
 Defined results: null, empty and blank texts hold nothing; repeated rows of a
 chunk give their result once; a null start_line counts as 1; a chunk without
@@ -39,8 +45,9 @@ from pyspark.sql import types as T
 from siftwood.llm import tokenization
 
 MASK = "[redacted]"
-#: Characters per subword below which a string counts as unnatural.
-NATURAL = 2.6
+#: Characters per subword below which a string counts as unnatural: by itself, where prose or a
+#: scheme announces it, and where it is the literal of a name for a secret.
+NATURAL, NATURAL_SAID, NATURAL_NAMED = 2.6, 3.3, 4.25
 #: Shortest value that can be a credential.
 SHORTEST = 6
 
@@ -139,11 +146,13 @@ def secret_value(value: str, strict: bool = False) -> bool:
         return False
     if re.fullmatch(r"[\w.\-]*\([^)]*\)?;?", value) or re.match(r"(?:https?|file)://", value) or re.match(r"\.{0,2}/[\w.\-/]*\Z", value):
         return False
-    unnatural = chars_per_subword(value) < NATURAL
+    per = chars_per_subword(value)
+    if per >= (NATURAL_SAID if strict else NATURAL_NAMED):
+        return False
     mixed = bool(re.search(r"[A-Za-z]", value)) and bool(re.search(r"[0-9]", value))
     if strict:
-        return (mixed or unnatural) and (unnatural and classes(value) >= 2 or classes(value) >= 3)
-    return mixed or unnatural and classes(value) >= 2 or classes(value) >= 3
+        return (mixed or per < NATURAL) and (per < NATURAL and classes(value) >= 2 or classes(value) >= 3)
+    return mixed or per < NATURAL and classes(value) >= 2 or classes(value) >= 3
 
 
 def secret_name(name: str) -> bool:
@@ -287,7 +296,7 @@ def _line(text: str, begin: int, stop: int) -> list[list[tuple[int, int]]]:
     line = text[begin:stop]
     for m in _URL.finditer(line):
         v = m["v"]
-        if len(v) >= 4 and not placeholder(v) and (secret_value(v) or re.search(r"\d", v)):
+        if len(v) >= 4 and not placeholder(v) and (secret_value(v) or re.search(r"\d", v) and chars_per_subword(v) < NATURAL_NAMED):
             out.append([(begin + m.start("v"), begin + m.end("v"))])
     for m in _ASSIGN.finditer(line):
         name, at = m["name"], begin + m.end()
@@ -343,16 +352,18 @@ def _provider(value: str) -> bool:
     return chars_per_subword(value) < NATURAL and bool(re.search(r"\d", value) or re.search(r"[A-Z]", value[4:]))
 
 
-def mask(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """text with the spans masked, and the number of masks; line breaks within a span stay."""
-    out, place, n = [], 0, 0
+def mask(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """text with the spans masked, each in its own length, and the spans that were; line breaks within a span stay."""
+    out, place, done = [], 0, []
     for a, b in sorted(spans):
         if a < place or a >= b:
             continue
-        out.append(text[place:a])
-        out.append(MASK + "".join(c for c in text[a:b] if c in "\r\n"))
-        place, n = b, n + 1
-    return "".join([*out, text[place:]]), n
+        first = re.match(r"[^\r\n]*", text[a:b]).end()
+        whole = MASK if first >= len(MASK) else ""
+        out += [text[place:a], whole, re.sub(r"[^\r\n]", "*", text[a + len(whole) : b])]
+        place = b
+        done.append((a, b))
+    return "".join([*out, text[place:]]), done
 
 
 _FLAGS = (
@@ -401,13 +412,13 @@ def linked(flags: DataFrame) -> DataFrame:
 
     Only chunks that leave something open or could take it over are put in order.
     """
-    loose = flags.where("opens is not null or takes is not null").select(
+    loose = flags.where("(opens is not null or takes is not null) and file_id is not null").select(
         "chunk_id", "file_id", "start_line", "n_lines", "opens", "opens_if", "takes"
     ).dropDuplicates(["chunk_id"])
     order = Window.partitionBy("file_id").orderBy("start_line", "chunk_id")
     behind = F.col("start_line") + F.col("n_lines")
     chained = loose.select(
-        "*", (F.col("file_id").isNotNull() & (F.lag(behind).over(order) == F.col("start_line"))).alias("joined"),
+        "*", (F.lag(behind).over(order) == F.col("start_line")).alias("joined"),
     ).withColumn("joined", F.coalesce("joined", F.lit(False)))
     # a stretch ends where a chunk doesn't follow on, or can't pass on what it got
     kind = F.when(F.col("opens").isNotNull(), F.col("opens"))
@@ -435,13 +446,13 @@ def found(chunks: DataFrame) -> DataFrame:
     lines = F.concat(
         F.coalesce("lines", F.array().cast("array<int>")),
         F.when(F.col("got"), F.array("start_line")).otherwise(F.array().cast("array<int>")),
-        F.when(F.col("opens_if") & F.col("sure"), F.array("open_line")).otherwise(F.array().cast("array<int>")),
+        F.when(F.col("opens_if") & F.coalesce("sure", F.lit(False)), F.array("open_line")).otherwise(F.array().cast("array<int>")),
     )
     return told.select("chunk_id", F.explode(lines).alias("line")).distinct()
 
 
 def redact(chunks: DataFrame) -> DataFrame:
-    """chunk_id, file_id, text and n_masks of every chunk, the credentials masked; chunks without one come unchanged."""
+    """chunk_id, file_id, text, n_masks and spans (start, stop) of every chunk, the credentials masked; chunks without one come unchanged."""
     from siftwood.session import materialize
 
     flags = materialize(scanned(chunks), "secrets")
@@ -452,16 +463,19 @@ def redact(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, counts = [], []
+            out, counts, places = [], [], []
             for text, found_spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                done, n = (text, 0) if text is None or not found_spans else mask(text, [(s["a"], s["b"]) for s in found_spans])
+                done, set_now = (text, []) if text is None or not found_spans else mask(text, [(s["a"], s["b"]) for s in found_spans])
                 out.append(done)
-                counts.append(n)
+                counts.append(len(set_now))
+                places.append([{"start": a, "stop": b} for a, b in set_now])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["chunk_id", "file_id", "text", "n_masks"]
+                [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(counts, pa.int32()), pa.array(places, kind)], names=["chunk_id", "file_id", "text", "n_masks", "spans"]
             )
 
-    schema = T.StructType([rows.schema["chunk_id"], rows.schema["file_id"], T.StructField("text", T.StringType()), T.StructField("n_masks", T.IntegerType())])
+    tail = T.StructType.fromDDL("text string, n_masks int, spans array<struct<start:int,stop:int>>")
+    schema = T.StructType([rows.schema["chunk_id"], rows.schema["file_id"], *tail.fields])
     return rows.select("chunk_id", "file_id", "text", "spans").mapInArrow(run, schema)
 
 

@@ -57,13 +57,15 @@ def test_pieces_of_a_literal():
     text = 'a = 1\nconst pwd = "AKIAM6ITEP" +\n    "XWNS4SW223";\nb = 2\n'
     assert lines(text) == [2]
     done, n = S.mask(text, S.scan(text).spans)
-    assert n == 2 and "XWNS" not in done and "AKIA" not in done and done.count("\n") == text.count("\n")
+    assert len(n) == 2 and len(done) == len(text) and "XWNS" not in done and "AKIA" not in done and done.count("\n") == text.count("\n")
 
 
 def test_masking_is_idempotent_and_keeps_the_code_around():
     text = f'db_password = "kR7vWq2ZtX"; next()\nk = """{BEGIN}\n{BODY}\n{END}"""\n'
     done, n = S.mask(text, S.scan(text).spans)
-    assert n == 2 and done.startswith('db_password = "[redacted]"; next()\nk = """[redacted]')
+    assert n == S.scan(text).spans and len(done) == len(text) and done.startswith('db_password = "[redacted]"; next()\nk = """[redacted]')
+    outside = [i for i in range(len(text)) if not any(a <= i < b for a, b in n)]
+    assert all(done[i] == text[i] for i in outside)
     assert done.count("\n") == text.count("\n") and done.endswith('"""\n')
     assert S.scan(done).starts == []
 
@@ -89,7 +91,10 @@ def test_key_over_chunks(spark):
     assert got == {(1, 2), (2, 4), (3, 6), (5, 1), (6, 2), (9, 1), (11, 2)}
     done = {r.chunk_id: (r.text, r.n_masks) for r in S.redact(frame(spark, rows)).collect()}
     assert set(done) == {r[0] for r in rows}
-    assert done[2][0] == "[redacted]\n\n" and done[3] == ("[redacted]\n'''\ny = 2\n", 1)
+    assert done[2][0].startswith("[redacted]**") and set(done[2][0][10:]) == {"*", "\n"} and done[3][0].endswith("*'''\ny = 2\n") and done[3][1] == 1
+    assert all(len(done[c][0]) == len(t) for c, _, _, t in rows if t)
+    again = S.redact(frame(spark, [(c, f, s, done[c][0]) for c, f, s, _ in rows]))
+    assert again.where("n_masks > 0").count() == 0
     assert done[4][1] == 0 and done[8][1] == 0 and done[12] == (None, 0)
     files = spark.createDataFrame([(1, 2, "2024-01-01"), (1, 1, "2023-01-01"), (9, None, "2024-01-01")], "file_id long, redacted int, indexed_at string")
     assert {(r.file_id, r.redacted) for r in S.updated_files(files, S.redact(frame(spark, rows))).collect()} == {(1, 5), (9, 0)}
