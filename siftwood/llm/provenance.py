@@ -1,18 +1,20 @@
 """Source files that nobody in the repository wrote by hand, with the reason.
 
-Each chunk is lexed into comments, literals and the skeleton that is left. The
-lines that a formatter would give the skeleton are estimated by its marks `;`, `{`
-and `}`; nothing is emitted again, and depth is not measured. These figures add up
-over the chunks of a file, so no text is shuffled or gathered. Compared with the
-layout as it is,
+Each chunk is lexed into comments, literals and the skeleton that is left, and the
+skeleton is emitted again in canonical layout: a statement to a line, blocks indented
+by their depth, long statements wrapped. The families of languages differ in what ends
+a statement and bounds a block: marks (`;`, `{`, `}`), words (`then`, `do`, `end`, `fi`
+and the like) or the line itself. What was emitted is compared with what stands there:
 
 - extreme expansion marks minified code: many canonical lines for each line there is;
 - literal dominance marks data: hardly anything but literals and the marks between them;
-- perfect uniformity, every line with an even number of leading blanks and none at its
-  end, supports a generator. In code formatted on save it is common by hand too, so it is reported
-  (`profiles`) and never decides alone.
+- perfect uniformity, every line indented as in the canonical layout with none at its end,
+  supports a generator. In code formatted on save it is common by hand too, so it is
+  reported (`profiles`) and never decides alone.
 
-Place, name and the comment at the head of a file tell vendored and generated files.
+These figures add up over the chunks of a file, so no text is shuffled or gathered.
+Place, name and the comment at the head of a file tell vendored and generated files. The
+head is all that stands before the first line of code, over as many chunks as it takes.
 
 The reasons are tried in this order: vendored, minified, generated, data.
 
@@ -25,6 +27,7 @@ without a row are left out; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,16 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Canonical lines for each line of code from which the layout counts as taken out.
-EXPANSION = 8.0
-#: Characters of the longest line that a minified file has at least.
-LONG_LINE = 400
+EXPANSION = 12.0
+#: Characters of a line in the canonical layout.
+WIDTH = 100
 #: Share of literals in what isn't comment from which a file is data, and the lower
 #: share that will do where hardly any words are left beside them.
 LITERALS, FEW_WORDS_LITERALS, FEW_WORDS = 0.98, 0.9, 70
 #: Characters that a data file has at least.
 DATA_CHARS = 400
-#: Lines from the top within which the head of a file stands.
-HEAD_LINES = 40
 
 # ---- fixed values: places, names and words that tell where a file comes from ----
 VENDOR_DIRS = (
@@ -87,21 +88,34 @@ _NOTICE = re.compile("(?i)" + NOTICES)
 _STUB = re.compile(r"(?i)\b(?:method|function|class|constructor)?\s*stub\b")
 _LEX = re.compile(
     r"(?P<c>/\*.*?(?:\*/|\Z)|(?<![:\w])//[^\n]*|^[ \t]*(?:#(?!\[|!\[|include\b|import\b|define\b|ifdef\b|ifndef\b|endif\b|pragma\b)|--(?!\w+:))[^\n]*|^[ \t]*(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)))"
-    r"|(?P<s>\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"[^\"\\\n]*\"|\"(?:\\.|[^\"\\\n]){0,2000}+\"|'[^'\\\n]*'|'(?:\\.|[^'\\\n]){0,2000}+'|`(?:\\.|[^`\\])*+(?:`|\Z)|url\([^)\n]*\)|[A-Za-z0-9+/]{60,}={0,2})",
+    r"|(?P<s>\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.|\\\Z)*+(?:\"|(?=\n)|\Z)|'[^'\\\n]*'|'[^'\\\n]*\\(?:.|\Z)(?:[^'\\\n]|\\.|\\\Z)*+(?:'|(?=\n)|\Z)|`(?:\\.|[^`\\])*+(?:`|\Z)|url\([^)\n]*\)|[A-Za-z0-9+/]{60,}={0,2})",
     re.S | re.M,
 )
 _NUMBER = re.compile(r"\b0[xX][0-9a-fA-F]+[uUlL]*\b|(?<![\w.])-?\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?(?:px|em|rem|%|f|[uUiIlL]\d*)?(?!\w)")
 _SPACE = re.compile(r"\s+")
+_TABLE = re.compile(r"[,:](?:\s*+(?:(?:\"\"|[-+])\s*+)*+[,:]){2,}+")
+#: What ends a statement or bounds a block, by family: marks, words, or the line alone.
+_BRACES = re.compile(r"[;{}()\[\]\n]")
+_WORDS = re.compile(r"[;()\[\]\n]|\b(?:then|do|end|fi|done|esac|else|elsif|elseif|elif)\b")
+_LINES = re.compile(r"[;()\[\]\n]")
+_ENDS = re.compile(r"(?:^|[;\s])(?:end|fi|done|esac)(?=[\s;)]|\Z)")
+_OPENERS = ("{", "then", "do")
+_TURNS = ("else", "elsif", "elseif", "elif")
 _WORD = re.compile(r"[A-Za-z_]\w*")
 _SHEBANG = re.compile(r"\A(?:﻿)?(?:#![^\n]*\n)?")
 _HEAD_LINE = re.compile(r"[ \t]*(?://|#(?!\[|!\[|include|define|pragma)|--|/\*|\*|;|<!--|\"\"\"|'''|%|\{?-)")
 
 
-def head(text: str) -> str:
-    """The comment at the head of a text: what stands before the first line of code."""
-    lines, inside = [], ""
-    for line in text[_SHEBANG.match(text).end() :].split("\n", HEAD_LINES)[:HEAD_LINES]:
-        bare = line.strip()
+def head(text: str) -> tuple[str, bool]:
+    """The comment before the first line of code, and whether no code follows; a text may begin within a block comment."""
+    lines, at = [], _SHEBANG.match(text).end()
+    close = text.find("*/", at)
+    inside = "*/" if close >= 0 and text.find("/*", at, close) < 0 else ""
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        bare = text[at:stop].strip()
+        at = stop + 1
         if inside:
             lines.append(bare)
             if inside in bare:
@@ -110,13 +124,13 @@ def head(text: str) -> str:
         if not bare:
             lines.append("")
             continue
-        if not _HEAD_LINE.match(line):
-            break
+        if not _HEAD_LINE.match(bare):
+            return "\n".join(lines).strip(), False
         lines.append(bare)
-        for mark, close in (("/*", "*/"), ('"""', '"""'), ("'''", "'''"), ("<!--", "-->")):
-            if bare.startswith(mark) and close not in bare[len(mark) :]:
-                inside = close
-    return "\n".join(lines).strip()
+        for mark, end in (("/*", "*/"), ('"""', '"""'), ("'''", "'''"), ("<!--", "-->")):
+            if bare.startswith(mark) and end not in bare[len(mark) :]:
+                inside = end
+    return "\n".join(lines).strip(), True
 
 
 def notice(comment: str) -> bool:
@@ -136,8 +150,53 @@ def released(comment: str) -> str | None:
     return None
 
 
-def profile(text: str) -> tuple[int, int, int, int, int, int]:
-    """Lines of code, canonical lines, longest line, characters of code, of literals, and lines that stand where a formatter puts them."""
+def emitted(skeleton: str) -> list[tuple[int, str]]:
+    """The canonical layout of a skeleton: depth and text of its statements.
+
+    The family is told by the marks and words that bound blocks; a line break ends a
+    statement outside of brackets in all of them.
+    """
+    marks = _BRACES if "{" in skeleton or ";" in skeleton else _WORDS if _ENDS.search(skeleton) else _LINES
+    out: list[tuple[int, str]] = []
+    depth = brackets = begin = 0
+    for m in marks.finditer(skeleton):
+        mark, at = m[0], m.start()
+        if mark in "([":
+            brackets += 1
+            continue
+        if mark in ")]":
+            brackets = max(0, brackets - 1)
+            continue
+        if mark in "\n;":
+            if brackets:
+                continue
+            stop = m.end()
+        elif mark in _OPENERS:
+            stop = m.end()
+        else:  # the end of a block stands on a line of its own
+            statement = skeleton[begin:at].strip()
+            if statement:
+                out.append((depth, statement))
+            begin, depth, brackets = at, max(0, depth - 1), 0
+            if mark in _TURNS:
+                stop = m.end()
+                out.append((depth, mark))
+                begin, depth = stop, depth + 1
+            continue
+        statement = skeleton[begin:stop].strip()
+        if statement and statement != ";":
+            out.append((depth, statement))
+        begin = stop
+        if mark in _OPENERS:
+            depth, brackets = depth + 1, 0
+    statement = skeleton[begin:].strip()
+    if statement:
+        out.append((depth, statement))
+    return out
+
+
+def profile(text: str) -> tuple[int, int, int, int, int]:
+    """Lines of code, canonical lines, characters of code, of literals, and lines that are indented as in the canonical layout."""
     literal = 0
     kept: list[str] = []
     place = 0
@@ -155,31 +214,38 @@ def profile(text: str) -> tuple[int, int, int, int, int, int]:
     bare = _NUMBER.sub("", skeleton)
     numbers = len(skeleton) - len(bare)
     lines = [x for x in skeleton.split("\n") if x and not x.isspace()]
-    canonical = skeleton.count(";") + skeleton.count("{") + skeleton.count("}")
-    longest = max(map(len, lines), default=0)
-    words = sum(map(len, _WORD.findall(bare)))
-    size = words + literal + numbers
-    regular = sum(not x.rstrip("\r").endswith((" ", "\t")) and (len(x) - len(x.lstrip(" "))) % 2 == 0 for x in lines)
-    return len(lines), canonical, longest, size, literal + numbers, regular
+    # a table of literals is one literal
+    canonical = emitted(_TABLE.sub('""', bare))
+    size = sum(map(len, _WORD.findall(bare))) + literal + numbers
+    depths = Counter(min(d, 12) for d, _ in canonical)
+    widths = Counter(len(x.expandtabs(4)) - len(x.expandtabs(4).lstrip(" ")) for x in lines if not x.rstrip("\r").endswith((" ", "\t")))
+    # how many lines stand where the canonical layout has one, with the step of indentation that fits best
+    regular = max(sum(min(n, widths[d * unit]) for d, n in depths.items()) for unit in (2, 4, 8)) if lines else 0
+    return len(lines), sum(1 + (len(x) - 1 + 4 * d) // WIDTH for d, x in canonical), size, literal + numbers, regular
 
 
-_SCHEMA = "chunk_id bigint, file_id bigint, start_line int, lines bigint, canonical bigint, longest bigint, size bigint, literal bigint, regular bigint, head string"
+_SCHEMA = "chunk_id bigint, file_id bigint, start_line int, lines bigint, canonical bigint, size bigint, literal bigint, regular bigint, code boolean, notice boolean, project string"
 _SUMS = ("lines", "canonical", "size", "literal", "regular")
 
 
 def measured(chunks: DataFrame) -> DataFrame:
-    """The figures of every chunk, and the head where a file may begin."""
+    """The figures of every chunk, whether it holds code, and what the comment before that says of the file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = batch.column(2).to_pylist()
-            rows = [(*profile(t), head(t) if (s or 1) <= HEAD_LINES else None) if t else (0, 0, 0, 0, 0, 0, None) for t, s in zip(batch.column(3).to_pylist(), start, strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
+            start, rows = batch.column(2).to_pylist(), []
+            for text in batch.column(3).to_pylist():
+                if not text:
+                    rows.append((0, 0, 0, 0, 0, False, False, None))
+                    continue
+                comment, whole = head(text)
+                rows.append((*profile(text), not whole, notice(comment), released(comment)))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
+            kinds = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([1 if s is None else s for s in start], pa.int32())]
-                + [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.string())],
+                [batch.column(0), batch.column(1), pa.array([1 if s is None else s for s in start], pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
                 names=[c.split()[0] for c in _SCHEMA.split(", ")],
-            )
+            )
 
     picked = chunks.where("file_id is not null").select(
         F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("file_id").cast("bigint").alias("file_id"), F.col("start_line").cast("int").alias("start_line"), "text"
@@ -188,36 +254,29 @@ def measured(chunks: DataFrame) -> DataFrame:
 
 
 def profiles(chunks: DataFrame) -> DataFrame:
-    """One row per file: the sums of its chunks' figures, expansion, literal share, uniformity and head."""
-    once = measured(chunks).dropDuplicates(["file_id", "chunk_id", "start_line"])
-    sums = [F.sum(c).alias(c) for c in _SUMS]
-    told = once.groupBy("file_id").agg(*sums, F.max("longest").alias("longest"), F.min_by("head", "start_line").alias("head"))
+    """One row per file: the sums of its chunks' figures, expansion, literal share, uniformity, and the notice and project of its head."""
+    # copies of a chunk have the same figures, which fold by hash
+    figures = [c.split()[0] for c in _SCHEMA.split(", ")[3:]]
+    once = measured(chunks).groupBy("file_id", "chunk_id", "start_line").agg(F.min(F.struct(*figures)).alias("m")).select("file_id", "start_line", "m.*")
+    # the head goes on over the chunks without code, up to the one with the first line of it
+    told = once.groupBy("file_id").agg(
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.min(F.when(F.col("code"), F.col("start_line"))).alias("first_code"),
+        F.min(F.when(F.col("notice"), F.col("start_line"))).alias("first_notice"),
+        F.min(F.when(F.col("project").isNotNull(), F.struct("start_line", "project"))).alias("first_project"),
+    )
     lines = F.greatest(F.col("lines"), F.lit(1))
+    reach = F.coalesce("first_code", F.lit((1 << 31) - 1))
     return told.select(
-        "file_id", "lines", "longest", F.col("size").alias("code_chars"), (F.col("size") - F.col("literal")).alias("bare_chars"), "head",
+        "file_id", "lines", F.col("size").alias("code_chars"), (F.col("size") - F.col("literal")).alias("bare_chars"),
+        F.coalesce(F.col("first_notice") <= reach, F.lit(False)).alias("notice"),
+        F.when(F.col("first_project.start_line") <= reach, F.col("first_project.project")).alias("project"),
         (F.col("canonical") / lines).alias("expansion"),
         (F.col("literal") / F.greatest(F.col("size"), F.lit(1))).alias("literal_share"),
-        (F.col("regular") / lines).alias("uniformity"),
+        F.least(F.col("regular") / lines, F.lit(1.0)).alias("uniformity"),
     )
 
 
-def _told(heads: DataFrame) -> DataFrame:
-    """file_id, project and notice from the heads; the head itself is dropped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column("head").to_pylist()]
-            at = batch.schema.get_field_index("head")
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([released(x) for x in texts], pa.string()), pa.array([notice(x) for x in texts], pa.bool_())], names=[*names, "project", "notice"]
-            )
-
-    schema = heads.drop("head").schema.add("project", "string").add("notice", "boolean")
-    return heads.mapInArrow(run, schema)
-
-
 def _in_dirs(path: Column, dirs: list[str]) -> Column:
     """Whether a folder of path below the repository is one of dirs."""
     names = "|".join(re.escape(d) for d in dirs)
@@ -228,7 +287,7 @@ def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """file_id, rel_path, role, size, reason and the figures of every file; reason is null for one written by hand."""
     newest = F.max(F.struct("indexed_at", "rel_path", "lang", "role", "size")).alias("row")
     latest = files.where("file_id is not null").groupBy(F.col("file_id").cast("bigint").alias("file_id")).agg(newest).select("file_id", "row.rel_path", "row.lang", "row.role", F.col("row.size").alias("bytes"))
-    full = latest.join(_told(profiles(chunks)), "file_id", "left")
+    full = latest.join(profiles(chunks), "file_id", "left")
     path, name = F.coalesce("rel_path", F.lit("")), F.regexp_extract(F.coalesce("rel_path", F.lit("")), r"([^/]*)$", 1)
     lang = F.lower(F.trim(F.coalesce("lang", F.lit(""))))
     extension = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
@@ -238,7 +297,7 @@ def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     foreign = F.coalesce(F.col("project").isNotNull() & (F.col("project") != own) & (F.col("project") != F.regexp_replace(own, r"-\d+$", "")), F.lit(False))
     vendored = path.rlike(rf"/(?:{'|'.join(re.escape(d) for d in VENDOR_DIRS)})/[^/]+/") | foreign
     minified = code & (
-        (F.col("expansion") >= EXPANSION) & (F.col("longest") >= LONG_LINE) | name.rlike(MINIFIED_NAMES)
+        (F.col("expansion") >= EXPANSION) | name.rlike(MINIFIED_NAMES)
     )
     generated = (
         _in_dirs(path, GENERATED_DIRS) | F.lower(name).rlike(GENERATED_NAMES) | name.isin(LOCK_FILES) | F.col("notice")
@@ -248,7 +307,7 @@ def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     data = code & literal & (F.col("code_chars") >= DATA_CHARS)
     yes = lambda c: F.coalesce(c, F.lit(False))
     reason = F.when(yes(vendored), "vendored").when(yes(minified), "minified").when(yes(generated), "generated").when(yes(data), "data")
-    return full.select("file_id", "rel_path", "role", F.col("bytes").alias("size"), reason.alias("reason"), "expansion", "literal_share", "uniformity", "longest", "project", "notice")
+    return full.select("file_id", "rel_path", "role", F.col("bytes").alias("size"), reason.alias("reason"), "expansion", "literal_share", "uniformity", "project", "notice")
 
 
 def found(files: DataFrame, chunks: DataFrame) -> DataFrame:
