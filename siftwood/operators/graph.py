@@ -85,49 +85,53 @@ def tests_for(index: Index, path: str, limit: int = 25) -> DataFrame:
     return rows.select("rel_path", covers.alias("covers")).orderBy(F.desc("covers"), "rel_path").limit(limit)
 
 
+#: Rounds of centrality between two written tables.
+ROUNDS_AT_ONCE = 4
+
+
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 40) -> DataFrame:
     """id, score and in_degree after a fixed number of rounds.
 
     Repeated links count as often as they stand; loops and links to unknown nodes
-    are left out; what nodes without links hold is spread over all.
+    are left out; what nodes without links hold is spread over all. How much that
+    is in the coming rounds follows from a few sums now: with e_0 marking the nodes
+    without links and e_i what they get of a node's score i rounds later, the sums of
+    score times e_i tell it, so several rounds make one plan without a look in between.
     """
     nodes = materialize(nodes.select(F.col("id").cast("bigint").alias("id")).distinct(), "nodes")
     known = links.select("src", "dst").where("src <> dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    weighted = known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    out = known.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
+    weighted = materialize(known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")), "weighted")
+    out = weighted.groupBy("src").agg(F.sum("w").alias("out"))
     shares = materialize(weighted.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "shares")
-    degree = known.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
-    # of what a node gives, the share that goes to nodes without links
-    ends = shares.join(out.select(F.col("src").alias("dst")), "dst", "left_anti").groupBy(F.col("src").alias("id")).agg(F.sum("share").alias("ends"))
-    base = materialize(
-        nodes.join(degree, "id", "left").join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left").join(ends, "id", "left").select(
-            "id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("ends", F.lit(0.0)).alias("ends")
-        ),
-        "base",
-    )
+    degree = weighted.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("in_degree"))
+    leads = out.select(F.col("src").alias("id"), F.lit(True).alias("leads"))
+    base = nodes.join(degree, "id", "left").join(leads, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.when(F.col("leads"), 0.0).otherwise(1.0).alias("e0"))
+    base = materialize(base, "base")
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("score"), "in_degree")
-    columns = ("id", "in_degree", "leads", "ends")
-    scores = materialize(base.select(*columns, F.lit(1.0 / n).alias("score")), "rank")
-    without = base.where("not leads").count()
-
-    def after(now: DataFrame, lost: float) -> DataFrame:
-        given = shares.join(now.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        score = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))
-        return base.join(given, "id", "left").select(*columns, score.alias("score"))
-
+    most = min(ROUNDS_AT_ONCE, rounds)
+    # e_1, e_2 and so on come from the same links, all moved by one in each step
+    ends = base.select("id", F.array("e0").alias("e"))
+    for i in range(1, most):
+        given = shares.join(ends.select(F.col("id").alias("dst"), "e"), "dst").select(F.col("src").alias("id"), F.lit(0.0).alias("e0"), F.transform("e", lambda x: F.col("share") * x).alias("later"))
+        own = base.select("id", "e0", F.array_repeat(F.lit(0.0), i).alias("later"))  # so that every node has a row, without a join
+        ends = own.unionByName(given).groupBy("id").agg(F.array(F.sum("e0"), *[F.sum(F.col("later")[j]) for j in range(i)]).alias("e"))
+    base = materialize(base.join(ends, "id").select("id", "in_degree", "e"), "ends")
+    scores = base.select("id", F.lit(1.0 / n).alias("score"))
+    total = base.agg(*[F.sum(F.col("e")[i]) for i in range(most)]).first()
     done = 0
     while done < rounds:
-        # two numbers: what is held without links now, and from them what will be after a round
-        told = scores.agg(F.sum(F.when(~F.col("leads"), F.col("score"))).alias("lost"), F.sum(F.col("score") * F.col("ends")).alias("given")).first()
-        lost = told.lost or 0.0
-        step = after(scores, lost)
-        if done + 1 < rounds:
-            step = after(step, without * ((1 - damping) + damping * lost) / n + damping * (told.given or 0.0))
-        done += 2
-        scores = materialize(step, "rank")
-    return scores.select("id", "score", "in_degree")
+        some = min(most, rounds - done)
+        held = list(scores.join(base.select("id", "e"), "id").agg(*[F.sum(F.col("score") * F.col("e")[i]) for i in range(some)]).first())
+        for _ in range(some):
+            spread = (1 - damping) / n + damping * (held[0] or 0.0) / n
+            held = [spread * total[i] + damping * (held[i + 1] or 0.0) for i in range(len(held) - 1)]
+            given = shares.join(scores.select(F.col("id").alias("src"), "score"), "src").select(F.col("dst").alias("id"), (F.col("share") * F.col("score")).alias("got"))
+            scores = base.select("id", F.lit(0.0).alias("got")).unionByName(given).groupBy("id").agg((F.lit(spread) + damping * F.sum("got")).alias("score"))
+        done += some
+        scores = materialize(scores, "rank")
+    return scores.join(base.select("id", "in_degree"), "id").select("id", "score", "in_degree")
 
 
 def central_files(index: Index, limit: int = 10) -> DataFrame:

@@ -40,17 +40,21 @@ def named_like(index: Index, query: str, limit: int = 50) -> DataFrame:
     return hits(index).where(F.lower("name").like(f"%{query.lower()}%")).orderBy("name", "symbol_id").limit(limit)
 
 
+def _band(index: Index, low: int, high: int) -> DataFrame:
+    return index.raw("symbols").where(F.length("name").between(low, high)).select("name").distinct()
+
+
 def name_band(index: Index, low: int, high: int, cap: int = 20_000) -> DataFrame:
-    """The distinct names of a length, by name."""
-    return index.symbols.where(F.length("name").between(low, high)).select("name").distinct().orderBy("name").limit(cap)
+    """The distinct names of a length, by name: the first of them."""
+    return _band(index, low, high).orderBy("name").limit(cap)
 
 
 def fuzzy(index: Index, query: str, limit: int = 10) -> DataFrame:
-    """name and distance of the names nearest to a query that no name holds: one edit, two from eight letters on."""
+    """name and distance of the names nearest to a query, of all names of about its length: one edit, two from eight letters on."""
     if len(query) < 4:
         return index.spark.createDataFrame([], "name string, distance int")
     most = 2 if len(query) >= 8 else 1
-    band = name_band(index, len(query) - most, len(query) + most)
+    band = _band(index, len(query) - most, len(query) + most)
     near = band.select("name", X.osa_to(query.lower())(F.lower("name")).alias("distance"))
     return near.where(F.col("distance").between(1, most)).orderBy("distance", "name").limit(limit)
 

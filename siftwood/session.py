@@ -74,7 +74,15 @@ def _remove_shared(spark: SparkSession, path: str) -> None:
 
 
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand Python at most so many rows at a time, so that a batch of long texts fits in a worker's memory."""
+    """See that a batch of long texts fits in a Python worker's memory.
+
+    Batches are bounded by their bytes, by default 64 MB, which the session is left
+    with; only where somebody has switched that bound off, or the setting is not
+    known, the rows of a batch are bounded instead.
+    """
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1")
+    if size[:1].isdigit() and size.rstrip("bBkKmMgG") != "0":
+        return
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
