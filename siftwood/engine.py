@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.index import Index
-from siftwood.operators import graph, health, hierarchy, knowledge, packets, reads, references, search, stats
+from siftwood.operators import graph, health, hierarchy, hybrid, knowledge, packets, reads, references, search, stats
 from siftwood.sinks.store import Store
 from siftwood.streaming import refresh as streaming
 
@@ -48,6 +48,12 @@ class Engine:
     def search(self, question: str, limit: int = 20) -> DataFrame:
         return search.ranked(self.index, question, limit)
 
+    def hybrid(self, question: str, embeddings: DataFrame | None = None, query: DataFrame | None = None, limit: int = 20) -> DataFrame:
+        """The chunks that words, vectors (vec_id, embedding; query holds the question's) and documentation find together, with their places."""
+        found = hybrid.hybrid_search(self.index, question, embeddings, query, limit)
+        lines = self.index.raw("chunks").select("chunk_id", "file_id", "start_line", "end_line").distinct()
+        return found.join(lines, "chunk_id").join(self.index.paths, "file_id").select("position", "rel_path", "start_line", "end_line", "chunk_id").orderBy("position")
+
     def references(self, name: str) -> DataFrame:
         return search.call_sites(self.index, name)
 

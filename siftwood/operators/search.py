@@ -140,16 +140,21 @@ def path_recall(index: Index, question: str, limit: int = 40) -> DataFrame:
     return named.join(first_chunks(index), "file_id").select("file_id", "rel_path", "chunk_id", "start_line", "concept")
 
 
-def ranked(index: Index, question: str, limit: int = 20) -> DataFrame:
-    """position, rel_path, start_line, class and concept: source before tests, docs and vendored files, then what the path names, then rank."""
+def placed(index: Index, question: str, limit: int = 20) -> DataFrame:
+    """chunk_id, rel_path, start_line, class, concept and ordinal: source before tests, docs and vendored files, then what the path names, then rank."""
     pool = max(4 * limit, 200)
     found = search_chunks(index, question, pool)
     order = Window.orderBy("tier", F.desc("score"), "chunk_id")  # over the pool only
     found = found.withColumn("ordinal", F.row_number().over(order)).select("file_id", "start_line", "chunk_id", "ordinal")
     recall = path_recall(index, question).select("file_id", "start_line", "chunk_id", (F.lit(pool) + F.row_number().over(Window.orderBy(F.desc("concept"), "rel_path"))).alias("ordinal"))
     both = found.unionByName(recall).groupBy("file_id", "start_line").agg(F.min("ordinal").alias("ordinal"), F.min("chunk_id").alias("chunk_id"))
-    placed = both.join(index.paths, "file_id").withColumn("class", P.search_tier(F.col("rel_path"))).withColumn("concept", X.concept_score(X.concept_terms(question), F.col("rel_path")))
-    return placed.orderBy("class", F.desc("concept"), "ordinal").limit(limit).select("rel_path", "start_line", "chunk_id", "class", "concept")
+    rows = both.join(index.paths, "file_id").withColumn("class", P.search_tier(F.col("rel_path"))).withColumn("concept", X.concept_score(X.concept_terms(question), F.col("rel_path")))
+    return rows.orderBy("class", F.desc("concept"), "ordinal").limit(limit)
+
+
+def ranked(index: Index, question: str, limit: int = 20) -> DataFrame:
+    """rel_path, start_line, chunk_id, class and concept of the same."""
+    return placed(index, question, limit).select("rel_path", "start_line", "chunk_id", "class", "concept")
 
 
 def find(index: Index, query: str) -> DataFrame:

@@ -9,6 +9,7 @@ from siftwood.functions import paths as P
 from siftwood.functions import text as X
 from siftwood.index import Index
 from siftwood.operators import fusion as Q
+from siftwood.operators import hybrid as H
 from siftwood.operators import search as E
 from siftwood.operators import vectors as V
 from siftwood.plans import sqltext as S
@@ -16,6 +17,8 @@ from siftwood.plans import sqltext as S
 #: What the search queries ask for.
 QUESTION, NAME, PART, TYPO = "remote session cache", "parse_line", "cache", "parse_lime"
 K = 10
+#: The vector that stands for the question.
+ASKED = 20
 
 
 def _vectors(s, d):
@@ -62,6 +65,8 @@ QUERIES = {
     "c02_lexical_scores": lambda s, d: Index(s, d).chunks.select("chunk_id", X.lexical_score(X.question_terms("Where is the session cache?"), F.col("text")).alias("score")),
     "q01_fusion": lambda s, d: Q.reciprocal_rank(_lists(s, d), "chunk_id").select("chunk_id", "score"),
     "q02_doc_recall": _recall,
+    "q03_plain": lambda s, d: H.plain_search(Index(s, d), QUESTION),
+    "q04_hybrid": lambda s, d: H.hybrid_search(Index(s, d), QUESTION, _vectors(s, d), _vectors(s, d).where(f"vec_id = {ASKED}")),
     "v05_quantized": lambda s, d: _vectors(s, d).select("vec_id", V.quantized(F.col("embedding")).alias("q")).select("vec_id", F.col("q.scale").alias("scale"), F.col("q.values").cast("array<int>").alias("codes")),
     "v06_nearest": _nearest,
     "v07_embeddable": lambda s, d: Index(s, d).chunks.where(V.embeddable(F.col("text"))).select("chunk_id"),
@@ -71,8 +76,8 @@ QUERIES = {
 _HIT = "SELECT symbol_id, name, kind, signature, rel_path, start_line, end_line FROM s JOIN f USING (file_id)"
 
 
-def bm25(source: str, key: str, text: str, question: str, keep: str = "") -> str:
-    """The common parts of a search: told has key, tier and score."""
+def bm25(source: str, key: str, text: str, question: str, keep: str = "", mark: str = "") -> str:
+    """The common parts of a search: told (with mark behind it) has key, tier and score."""
     terms = [t.lower() for part in X.search_terms(question) for t in E._split(part)]
     words = list(dict.fromkeys(terms))
     tf = ", ".join(f"len(list_filter(tokens, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(words))
@@ -80,10 +85,10 @@ def bm25(source: str, key: str, text: str, question: str, keep: str = "") -> str
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avg_len))" for i in range(len(words)))
     every, some = " AND ".join(f"tf{i} > 0" for i in range(len(words))), " OR ".join(f"tf{i} > 0" for i in range(len(words)))
     return f"""
-k AS (SELECT {key}{keep}, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM {source}),
-w AS (SELECT * EXCLUDE (tokens), len(tokens) AS len, contains(' ' || array_to_string(tokens, ' ') || ' ', ' {' '.join(terms)} ') AS phrase, {tf} FROM k),
-st AS (SELECT count(*) AS n, avg(len) AS avg_len, {df} FROM w),
-told AS (SELECT {key}{keep}, CASE WHEN phrase THEN 0 WHEN {every} THEN 1 ELSE 2 END AS tier, round({score}, 6) AS score FROM w, st WHERE {some})"""
+k{mark} AS (SELECT {key}{keep}, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM {source}),
+w{mark} AS (SELECT * EXCLUDE (tokens), len(tokens) AS len, contains(' ' || array_to_string(tokens, ' ') || ' ', ' {' '.join(terms)} ') AS phrase, {tf} FROM k{mark}),
+st{mark} AS (SELECT count(*) AS n, avg(len) AS avg_len, {df} FROM w{mark}),
+told{mark} AS (SELECT {key}{keep}, CASE WHEN phrase THEN 0 WHEN {every} THEN 1 ELSE 2 END AS tier, round({score}, 6) AS score FROM w{mark}, st{mark} WHERE {some})"""
 
 
 def _chunks(question: str, limit: int, name: str = "top") -> str:
@@ -97,6 +102,18 @@ _RECALL = (
     "fc AS (SELECT file_id, chunk_id, start_line FROM c QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY start_line, chunk_id) = 1), "
     "rec AS (SELECT file_id, rel_path, chunk_id, start_line, concept FROM named JOIN fc USING (file_id))"
 )
+_PLACED = (
+    _chunks(QUESTION, 200) + ", " + _RECALL + f", lex AS (SELECT chunk_id, row_number() OVER (ORDER BY class, concept DESC, ordinal) AS rank FROM (SELECT chunk_id, ordinal, {S.tier('rel_path')} AS class, {_CONCEPT} AS concept FROM ("
+    "SELECT file_id, start_line, min(ordinal) AS ordinal, min(chunk_id) AS chunk_id FROM (SELECT file_id, start_line, chunk_id, row_number() OVER (ORDER BY tier, score DESC, chunk_id) AS ordinal FROM top "
+    "UNION ALL SELECT file_id, start_line, chunk_id, 200 + row_number() OVER (ORDER BY concept DESC, rel_path) FROM rec) GROUP BY ALL) JOIN f USING (file_id)) QUALIFY rank <= 20), "
+    "sd AS (SELECT symbol_id, doc FROM s WHERE doc <> ''), " + bm25("sd", "symbol_id", "doc", QUESTION, mark="_d") + ", "
+    "dtop AS (SELECT symbol_id, tier, score FROM told_d ORDER BY tier, score DESC, symbol_id LIMIT 20), "
+    "dc AS (SELECT c.chunk_id, d.tier, d.score, d.symbol_id FROM dtop d JOIN s USING (symbol_id) JOIN c ON c.file_id = s.file_id AND s.start_line BETWEEN c.start_line AND c.end_line QUALIFY row_number() OVER (PARTITION BY c.chunk_id ORDER BY d.tier, d.score DESC, d.symbol_id) = 1)"
+)
+_MERGED = (
+    ", miss AS (SELECT chunk_id, row_number() OVER (ORDER BY tier, score DESC, symbol_id) AS j FROM dc WHERE chunk_id NOT IN (SELECT chunk_id FROM b) QUALIFY j <= 3), "
+    "m AS (SELECT chunk_id, CASE WHEN position <= 10 THEN position ELSE position + (SELECT count(*) FROM miss) END AS position FROM b UNION ALL SELECT chunk_id, (SELECT least(10, count(*)) FROM b) + j FROM miss)"
+)
 _CALL = "(^|[^A-Za-z0-9_])next_token[ \\t]*\\("
 
 SQL = {
@@ -142,6 +159,12 @@ SQL = {
         _chunks(QUESTION, 20) + ", " + _PART.format(n=20) + ", b AS (SELECT chunk_id, row_number() OVER (ORDER BY tier, score DESC, chunk_id) AS position FROM top), "
         "miss AS (SELECT chunk_id, row_number() OVER (ORDER BY n, chunk_id) AS j FROM part WHERE chunk_id NOT IN (SELECT chunk_id FROM b) QUALIFY j <= 3)",
     ),
+    "q03_plain": S.sql("SELECT * FROM m WHERE position <= 20", _PLACED + ", b AS (SELECT chunk_id, rank AS position FROM lex)" + _MERGED),
+    "q04_hybrid": S.sql(
+        "SELECT * FROM m WHERE position <= 20",
+        _PLACED + f", near AS (SELECT v.vec_id AS chunk_id, row_number() OVER (ORDER BY round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id = {ASKED} AND v.vec_id IN (SELECT chunk_id FROM chunks) QUALIFY rank <= 20), "
+        "b AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, first) AS position FROM (SELECT chunk_id, round(sum(1 / (60 + rank)), 9) AS score, min({'l': l, 'r': rank}) AS first FROM (SELECT chunk_id, 0 AS l, rank FROM near UNION ALL SELECT chunk_id, 1, rank FROM lex) GROUP BY chunk_id) QUALIFY position <= 20)" + _MERGED,
+    ),
     "v05_quantized": "SELECT vec_id, round(m / 127, 9) AS scale, list_transform(embedding, lambda x: CAST(round(x::DOUBLE / (m / 127)) AS INTEGER)) AS codes FROM (SELECT *, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m FROM embeddings)",
     "v06_nearest": "SELECT query_id, vec_id, round(d, 5) AS distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS d, "
     "row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10",
