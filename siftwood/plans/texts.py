@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwood.functions import paths as P
@@ -61,6 +62,21 @@ def _regions(s, d):
     return index.chunks.select("chunk_id", N.region_hash(F.col("text"), F.lit(2), F.lit(4)).alias("hash"))
 
 
+def _notes(s, d):
+    """The guides among the documents as curated notes."""
+    rows = Index(s, d).raw("documents").where("doc_kind = 'guide' and text is not null")
+    empty = F.lit(None).cast("string")
+    return rows.select(F.col("doc_id").cast("string").alias("note_id"), F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("summary"), F.col("text").alias("body"), F.lit("").alias("tags"), empty.alias("confidence"), empty.alias("freshness"))
+
+
+def _related(s, d):
+    index = Index(s, d)
+    found = C.source_candidates(index, QUESTION)
+    order = Window.orderBy(F.desc("lexical"), "chunk_id")
+    near = C.related(index, found.select("file_id", F.row_number().over(order).alias("position")))
+    return near.join(index.paths, "file_id").select("rel_path", "position")
+
+
 def _answers(s, d):
     """Each file as an answer that names the files it leads to."""
     links = Index(s, d).links()
@@ -77,7 +93,10 @@ QUERIES = {
     "j03_resource_targets": _resource_targets,
     "w08_first_per_name": lambda s, d: J.first_per_name(Index(s, d).symbols),
     "c03_sources": lambda s, d: C.source_candidates(Index(s, d), QUESTION).select("chunk_id", "rel_path", "start_line", "lexical"),
-    "c10_ranked": lambda s, d: C.ranked(Index(s, d), QUESTION).drop("text"),
+    "c04_notes": lambda s, d: C.note_candidates(_notes(s, d), QUESTION).select("note_id", "fresh", "confidence", "lexical"),
+    "c05_related": _related,
+    "c10_ranked": lambda s, d: C.ranked(Index(s, d), QUESTION, notes=_notes(s, d)).select("position", "id", "kind", "rel_path", "start_line", "class", "distance", "score"),
+    "c12_omissions": lambda s, d: C.omissions(Index(s, d), QUESTION, notes=_notes(s, d)),
     "c12_packet": lambda s, d: C.packet(Index(s, d), QUESTION),
     "c15_ids": lambda s, d: Index(s, d).symbols.join(Index(s, d).paths, "file_id").select("symbol_id", C.source_id(F.col("rel_path"), F.col("start_line")).alias("id")),
     "c16_paragraphs": lambda s, d: _docs(s, d).select("doc_id", C.first_paragraph(F.col("text")).alias("paragraph")),
@@ -117,6 +136,13 @@ SQL = {
     "j03_resource_targets": S.sql("SELECT edge_id, target FROM e JOIN (SELECT name AS raw, min(resource_id) AS target FROM r WHERE name <> '' GROUP BY name) USING (raw) WHERE kind IN ('uses_resource', 'declares_resource')"),
     "w08_first_per_name": S.sql("SELECT file_id, name, min(symbol_id) AS symbol_id FROM s GROUP BY ALL"),
     "c03_sources": S.sql(f"SELECT chunk_id, rel_path, top.start_line, {_LEX} AS lexical FROM top JOIN c USING (chunk_id) JOIN f ON f.file_id = top.file_id", _chunks(QUESTION, 40)),
+    "c04_notes": f"SELECT note_id, 'unverified' AS fresh, 0.8::DOUBLE AS confidence, lexical FROM (SELECT CAST(doc_id AS VARCHAR) AS note_id, {_LEX} AS lexical FROM (SELECT doc_id, concat_ws(' ', string_split(text, chr(10))[1], '', '', text) AS text FROM documents WHERE doc_kind = 'guide' AND text IS NOT NULL)) WHERE lexical > 0",
+    "c05_related": S.sql(
+        "SELECT rel_path, position FROM ww JOIN f USING (file_id) ORDER BY position, rel_path LIMIT 8",
+        _chunks(QUESTION, 40) + f", dd AS (SELECT top.file_id, min(position) AS position FROM (SELECT chunk_id, row_number() OVER (ORDER BY {_LEX} DESC, chunk_id) AS position FROM top JOIN c USING (chunk_id)) JOIN top USING (chunk_id) GROUP BY 1), "
+        f"ll AS (SELECT src_id AS a, dst_id AS b FROM e WHERE src_type = 'file' AND dst_type = 'file' AND resolved AND dst_id IS NOT NULL AND kind IN {S.DEPS} AND src_id <> dst_id AND src_id IN (SELECT file_id FROM f) AND dst_id IN (SELECT file_id FROM f)), "
+        "ww AS (SELECT near AS file_id, min(position) AS position FROM (SELECT b AS near, position FROM ll JOIN dd ON dd.file_id = ll.a UNION ALL SELECT a, position FROM ll JOIN dd ON dd.file_id = ll.b) WHERE near NOT IN (SELECT file_id FROM dd) GROUP BY 1)",
+    ),
     "c15_ids": S.sql("SELECT symbol_id, 'source:' || rtrim(replace(replace(base64((rel_path || ':' || start_line)::BLOB), '+', '-'), '/', '_'), '=') AS id FROM s JOIN f USING (file_id)"),
     "c16_paragraphs": "SELECT doc_id, CASE WHEN length(p) > 500 THEN left(p, 500) || '…' ELSE p END AS paragraph FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', ''), chr(10) || chr(10))[1] AS p FROM documents)",
     "web05_page_paths": f"SELECT url, CASE WHEN p = '' THEN 'index.md' WHEN x = '' THEN p || '/index.md' WHEN x IN ('.html', '.htm') THEN regexp_replace(p, '\\.html?$', '') || '.md' WHEN x = '.md' THEN p ELSE p || '.md' END AS path "
