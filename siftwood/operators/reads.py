@@ -50,6 +50,16 @@ def files_of_roles(index: Index, roles: list[str]) -> DataFrame:
     return index.files.where(F.col("role").isin(roles)).select("file_id", "rel_path", "role")
 
 
+def file_ids(index: Index, paths: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """file_id and rel_path of all files, or of those named by path (rel_path) or by id (file_id)."""
+    rows = index.paths
+    if paths is not None:
+        rows = rows.join(paths.select("rel_path").distinct(), "rel_path", "left_semi")
+    if ids is not None:
+        rows = rows.join(ids.select("file_id").distinct(), "file_id", "left_semi")
+    return rows.select("file_id", "rel_path")
+
+
 def first_chunks(index: Index) -> DataFrame:
     """The first chunk of every file, by start_line, then chunk_id."""
     order = Window.partitionBy("file_id").orderBy("start_line", "chunk_id")

@@ -45,7 +45,6 @@ QUERIES = {
     "h11_forbidden": lambda s, d: H.forbidden(Index(s, d), RULES),
     "h13_violations": lambda s, d: H.violations(Index(s, d)),
     "a15_health_score": lambda s, d: A.health_score(H.findings(Index(s, d), _known(s), RULES)),
-    "r01_service_keys": lambda s, d: Index(s, d).chunks.select("chunk_id", R.prefixed(F.col("text")).alias("n")).where("n > 0"),
     "r05_redacted_chunks": lambda s, d: R.redact_chunks(Index(s, d).raw("chunks")),
     "r06_masks_of_files": lambda s, d: R.redact_chunks(Index(s, d).raw("chunks")).groupBy("file_id").agg(F.sum("n").alias("masks")).where("masks > 0"),
 }
