@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -76,13 +77,14 @@ def _remove_shared(spark: SparkSession, path: str) -> None:
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
     """See that a batch of long texts fits in a Python worker's memory.
 
-    Batches are bounded by their bytes, by default 64 MB, which the session is left
-    with; only where somebody has switched that bound off, or the setting is not
-    known, the rows of a batch are bounded instead.
+    Batches are bounded by their bytes, by default 64 MB, and the session is left as
+    it is; only where Spark doesn't know that bound, the rows are bounded instead.
     """
-    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1")
-    if size[:1].isdigit() and size.rstrip("bBkKmMgG") != "0":
+    try:
+        spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
         return
+    except PySparkException:
+        pass
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
