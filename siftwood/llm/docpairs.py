@@ -6,6 +6,10 @@ Two grammars are at work, both of which know only the islands and skip the rest.
 annotation, a signature and a balanced body look like; every other line is water.
 It gives each function with the documentation next to it.
 
+A function of a table and its island in the source meet by file and line; by that the
+pairs of the table are checked against the source (README), while their rows come from
+the documentation grammar alone, which needs no second reading of the texts.
+
 `statements` reads documentation. Its islands are comment marks, rules and section
 marks, placeholders, directives to tools, licence lines, commented-out code,
 pointers to other documentation, tags and sentences. Only sentences and the
@@ -308,7 +312,7 @@ GRAMMARS: dict[str, Grammar] = {
     "java": Grammar(re.compile(_B + r"(?!(?:return|new|else|throw)\b)(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?[\w.<>\[\],? ]+?\s+(?P<name>(?!(?:if|for|while|switch|catch)\b)\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w., ]+)?(?=\{)"), "//", ("/*", "*/"), re.compile(r"[ \t]*@\w")),
     "cpp": Grammar(re.compile(_B + r"(?!(?:return|new|else|throw|using|typedef)\b)(?:[\w:<>,&*~\[\] ]+?[\s&*]+)(?P<name>(?!(?:if|for|while|switch|catch)\b)[\w:~]+)\s*\([^;{}]*\)\s*(?:const|noexcept|override|final|\s)*(?=\{)"), "//"),
     "lua": Grammar(re.compile(_B + r"(?:local\s+)?function\s+(?P<name>[\w.:]+)\s*\("), "--", None, None, "end"),
-    "bash": Grammar(re.compile(_B + r"(?:function\s+)?(?P<name>[\w-]+)\s*\(\)\s*(?=\{)"), "#", None),
+    "bash": Grammar(re.compile(_B + r"(?:function\s+)?(?P<name>[\w-]+)\s*\([^(){}]*\)\s*(?=\{)"), "#", None),
     "ruby": Grammar(re.compile(_B + r"def\s+(?P<name>[\w.?!=]+)"), "#", None, None, "end"),
 }
 GRAMMARS |= {"tsx": GRAMMARS["typescript"], "c": GRAMMARS["cpp"], "csharp": GRAMMARS["java"], "kotlin": Grammar(re.compile(_B + r"(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?P<name>[\w.]+)\s*\("), "//")}
