@@ -25,13 +25,15 @@ SK = r"\bsk-(?:[A-Za-z0-9_-]{40,}|[A-Za-z0-9_]{24,}(?![A-Za-z0-9_-]))"
 URL = r"([a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@]*:)([^\s@/]{4,})(@)"
 STAND_INS = ("pass", "password", "passwd", "secret", "token", "user", "username", "changeme", "example", "test", "xxx", "redacted", "yourpassword", "hunter2")
 TRIGGERS = ("://", "-----", "sk_", "sk-", "pk_", "rk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AKIA", "AIza", "eyJ")
+KEY_MARK = r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----"
+KEY_LINE = r"[A-Za-z0-9+/]{4,}={0,2}"
 # ---- end of fixed values ----
 
 _KEYS = re.compile("|".join((PREFIXED[0], SK, *PREFIXED[1:])))
 _URL = re.compile(URL)
-_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+_MARK = re.compile(KEY_MARK)
 _BREAK = re.compile(r"\r?\n|(?:\\r)?\\n")
-_LINE = re.compile(r"[A-Za-z0-9+/]{4,}={0,2}")
+_LINE = re.compile(KEY_LINE)
 
 
 def may_hold(text: Column) -> Column:
@@ -118,7 +120,7 @@ def redact_chunks(chunks: DataFrame) -> DataFrame:
     masked = rows.where(hit).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("n", T.IntegerType())]))
     told = masked.unionByName(rows.where(~hit).withColumn("n", F.lit(0)))
     # the marks of files that have any, in order: is a key open where a chunk without marks begins?
-    last = F.regexp_extract_all("text", F.lit(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----"), 1)
+    last = F.regexp_extract_all("text", F.lit(KEY_MARK), 1)
     mark = F.when(F.size(last) > 0, F.element_at(last, -1))
     marked = told.select("chunk_id", "file_id", "start_line", mark.alias("mark"))
     open_files = marked.where("mark is not null").select("file_id").distinct()
