@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import paths as P
 from siftwood.index import Index
+from siftwood.operators import health as H
 from siftwood.operators import reads as B
 from siftwood.operators import redaction as R
 from siftwood.operators import resolution as J
+from siftwood.operators import stats as A
 from siftwood.plans import sqltext as S
 from siftwood.plans.checks import SQL as CHECKS
 from siftwood.plans.searching import TYPO
@@ -43,6 +45,21 @@ def _passes(spark):
     return J.resolve(edges, files, symbols, resources, PACKAGES)
 
 
+#: Guides and launched commands that the generated tables lack.
+GUIDES = ((1, "r-1/README.md", "markdown"), (2, "r-1/CONTRIBUTING.md", "markdown"), (3, "r-1/docs/design-notes.md", "markdown"), (4, "r-1/src/README.md", "markdown"), (5, "r-1/README.rst", "text"), (6, "r-2/docs/api.md", "markdown"), (7, "r-2/readme.md", "markdown"), (8, "r-2/run.sh", "bash"))
+LAUNCHED = ((1, 8, "execs", "make all", False), (2, 8, "execs", "'nosuch' --x", False), (3, 8, "binds", "nosuch -y", False), (4, 8, "autostarts", "./a/b", False), (5, 8, "execs", "$HOME/c", False), (6, 8, "execs", "other", True), (7, 8, "execs", "gone", None), (8, 8, "execs", None, False))
+
+
+def _small(s, d):
+    """The index with a few files and edges in the place of its own."""
+    index = Index(s, d)
+    files = s.createDataFrame(GUIDES, "file_id long, rel_path string, lang string")
+    edges = s.createDataFrame(LAUNCHED, "edge_id long, file_id long, kind string, raw string, resolved boolean")
+    more = {"src_type": F.lit("file"), "src_id": F.col("file_id"), "line": F.col("edge_id").cast("int"), "dst_type": F.lit("file"), "dst_id": F.when(F.col("resolved"), 1).cast("bigint")}
+    index.__dict__ |= {"files": files, "edges": edges.withColumns(more)}
+    return index
+
+
 def _keys(s, d):
     index = Index(s, d)
     rows = index.raw("chunks").where(R.may_hold(F.col("text"))).select("chunk_id", R.prefixed(F.col("text")).alias("n")).where("n > 0")
@@ -54,6 +71,8 @@ QUERIES = {
     "j01_j13_passes": lambda s, d: _passes(s)[0].select("edge_id", "dst_type", "dst_id", "resolved"),
     "j06_j08_fanned_out": lambda s, d: _passes(s)[1].select("file_id", "dst_id"),
     "r01_service_keys": _keys,
+    "a11_guides_planted": lambda s, d: A.guides(_small(s, d)),
+    "h08_broken_planted": lambda s, d: H.broken_commands(_small(s, d), s.createDataFrame([("make",)], "name string")),
 }
 
 _WHAT = (
@@ -69,6 +88,8 @@ SQL = {
     "t03_file_ids": S.sql("SELECT file_id, rel_path FROM f"),
     "j01_j13_passes": "SELECT * FROM (VALUES " + ", ".join(f"({e}, {repr(t) if t else 'NULL'}, {i if i is not None else 'NULL'}, {bool(t)})" for e, _, k, _, t, i in LINKS if t or k not in ("uses", "instantiates")) + ") t(edge_id, dst_type, dst_id, resolved)",
     "j06_j08_fanned_out": "SELECT * FROM (VALUES (7, 4), (7, 5), (18, 17), (32, 31)) t(file_id, dst_id)",
+    "a11_guides_planted": "SELECT * FROM (VALUES ('r-1/README.md', 0), ('r-2/readme.md', 0), ('r-1/CONTRIBUTING.md', 1), ('r-1/docs/design-notes.md', 2)) t(rel_path, rank)",
+    "h08_broken_planted": "SELECT 'broken_command' AS check, 'warn' AS severity, 'r-2/run.sh' AS rel_path, line, detail FROM (VALUES (2, 'nosuch'), (7, 'gone')) t(line, detail)",
     "r01_service_keys": "SELECT chunk_id, n FROM (SELECT DISTINCT chunk_id, " + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in R.PREFIXED)
     + " + len(list_filter(regexp_extract_all(text, '\\bsk-[A-Za-z0-9_-]+'), lambda x: regexp_matches(x, '^sk-([A-Za-z0-9_-]{40,}|[A-Za-z0-9_]{24,})$'))) AS n FROM chunks) WHERE n > 0",
     "x27_generic": S.sql(

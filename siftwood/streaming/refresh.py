@@ -87,8 +87,12 @@ def keep_fresh(store: Store, stream: DataFrame, checkpoint: str, *, once: bool =
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def drain_backlog(store: Store, embed: Callable, batch_rows: int = 512) -> int:
-    """Embed the chunks that have no vector yet and append them; how many there were. What is appended stays if a later run fails."""
+def drain_backlog(store: Store, embed: Callable, batch_rows: int = 512, write_rows: int = 1_000_000) -> int:
+    """Embed the chunks that have no vector yet and append them; how many there were.
+
+    They are appended in writes of about write_rows, and what is appended stays, so a
+    run that fails goes on where it ended. The session's batch setting is put back.
+    """
     from siftwood.operators import vectors
 
     chunks = store.table("chunks").select("chunk_id", "text")
@@ -98,9 +102,16 @@ def drain_backlog(store: Store, embed: Callable, batch_rows: int = 512) -> int:
         known = chunks.limit(0).select("chunk_id")
     todo = materialize(vectors.backlog(chunks, known), "backlog")
     n = todo.count()
-    if n:
-        todo.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-        store.append("vectors", todo.select("chunk_id", embed(F.col("text")).alias("embedding")))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf, before = todo.sparkSession.conf, todo.sparkSession.conf.get(key)
+    conf.set(key, str(batch_rows))
+    try:
+        parts = -(-n // write_rows)
+        for part in range(parts):
+            some = todo.where(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)) == part)
+            store.append("vectors", some.select("chunk_id", embed(F.col("text")).alias("embedding")))
+    finally:
+        conf.set(key, before)
     return n
 
 
