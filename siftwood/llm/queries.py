@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwood.llm import docpairs, packing, pii, provenance, secrets, splitting, tokenization
@@ -105,7 +105,40 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return told.withColumn("share", F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_handwritten, p4_found, p4_pairs, p4_source, p5_found, p5_redacted, p5_files, p7_ids, p8_packed, p8_fill, p9_found, p9_sanitized)}
+def p1_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_id, bytes, and what must be 0: bytes no piece covers, pieces above the limit, overlaps above 32 tokens."""
+    one = p1_pieces(spark, folder)
+    after = F.lead("start_byte").over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    rows = one.select("chunk_id", "start_byte", "end_byte", F.octet_length("text").alias("n"), F.coalesce(after, F.col("end_byte")).alias("next"))
+    size = F.max("end_byte")
+    gaps = F.sum(F.greatest(F.col("next") - F.col("end_byte"), F.lit(0))) + F.min("start_byte")
+    return rows.groupBy("chunk_id").agg(size.alias("bytes"), gaps.alias("gaps"), F.count_if(F.col("n") > 2048).alias("large"), F.count_if(F.col("end_byte") - F.col("next") > 128).alias("wide"))
+
+
+def p5_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_id, characters and line ends of every masked chunk: those of the chunk itself, since masks keep offsets and lines."""
+    return p5_redacted(spark, folder).select("chunk_id", F.length("text").alias("chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("line_ends"))
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and the digest of the text that its ids decode to."""
+    return tokenization.decode(p7_ids(spark, folder), "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
+def p9_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and characters of every document, told from its sanitised text, the placeholders taken out and the spans put back."""
+    mark = F.lit(0)
+    for kind, text in pii.PLACEHOLDERS.items():
+        mark = mark + F.size(F.filter("spans", _of_kind(kind))) * len(text)
+    spans = F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
+    return p9_sanitized(spark, folder).select("doc_id", (F.length("text") - mark + spans).alias("chars"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_handwritten, p4_found, p4_pairs, p4_source, p5_found, p5_redacted, p5_files, p7_ids, p8_packed, p8_fill, p9_found, p9_sanitized, p1_cover, p5_lengths, p7_round_trip, p9_lengths)}
 
 SQL = {
     "p1_found": """
@@ -127,4 +160,8 @@ WITH c AS (
 SELECT c.chunk_id, CASE WHEN coalesce(max(t.run_tokens), 0) <= 512 THEN 'blank' WHEN max(w.line_tokens) <= 512 THEN 'line' ELSE 'inside' END AS boundary
 FROM c LEFT JOIN t USING (chunk_id) JOIN w USING (chunk_id) GROUP BY c.chunk_id
 """,
+    "p1_cover": "SELECT DISTINCT chunk_id, strlen(text) AS bytes, 0 AS gaps, 0 AS large, 0 AS wide FROM chunks WHERE (strlen(text) + 3) // 4 > 512",
+    "p5_lengths": "SELECT DISTINCT chunk_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) AS line_ends FROM chunks",
+    "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_lengths": "SELECT doc_id, length(text) AS chars FROM documents",
 }
