@@ -18,21 +18,31 @@ from siftwood.session import materialize
 
 #: Written tables that are read side by side before they are written as one.
 SEEN_TABLES = 8
+#: Steps of a reach between two written tables.
+STEPS_AT_ONCE = 3
 
 
 def reach(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """id and depth of every node that the links lead to from starts (id), the starts themselves left out; depth is the least number of steps."""
     links = materialize(links.select("src", "dst").where("src <> dst").distinct(), "links")
     edge = seen = materialize(starts.select(F.col("id").cast("bigint").alias("id"), F.lit(0).alias("depth")).distinct(), "reach")
-    depth = 0
+    depth = tables = 0
     while most is None or depth < most:
-        found = links.join(edge, links.src == edge.id, "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        edge = materialize(found.select("id", F.lit(depth + 1).alias("depth")), "edge")
-        if not edge.limit(1).count():
+        known, now, new = seen, edge, None
+        last = depth + STEPS_AT_ONCE if most is None else min(most, depth + STEPS_AT_ONCE)
+        for step in range(depth + 1, last + 1):
+            now = links.join(now, links.src == now.id, "left_semi").select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti").select("id", F.lit(step).alias("depth"))
+            known = known.unionByName(now)
+            new = now if new is None else new.unionByName(now)
+        new = materialize(new, "edge")
+        top = new.agg(F.max("depth")).first()[0]
+        if top is None:
             break
-        depth += 1
-        seen = seen.unionByName(edge)
-        if depth % SEEN_TABLES == 0:  # a union of a few written tables, then one table again
+        seen, tables = seen.unionByName(new), tables + 1
+        if top < last:
+            break
+        depth, edge = last, new.where(F.col("depth") == last)
+        if tables % SEEN_TABLES == 0:  # a union of a few written tables, then one table again
             seen = materialize(seen, "reach")
     return seen.where("depth > 0")
 
