@@ -4,8 +4,10 @@ import re
 
 import pytest
 
-from siftwood.plans import catalog, training
+from siftwood.operators import hierarchy
+from siftwood.plans import catalog
 from siftwood.session import reachable
+from siftwood.tables import table
 
 #: Stated queries against all rows, block by block.
 BLOCKS = {"v06_nearest"}
@@ -31,8 +33,9 @@ def columns_read(text: str, table: str) -> set[str]:
 
 def test_scans_read_the_columns_they_need(spark, folder):
     reachable(spark)
-    text = plan(training.p3_found(spark, folder))
-    assert columns_read(text, "symbols") <= {"symbol_id", "parent_id", "file_id"} and columns_read(text, "symbols")
+    # the hierarchy writes its blocks first, so the scan stands in the plan of its nodes
+    text = plan(hierarchy._nodes(table(spark, folder, "symbols"), "symbol_id", "parent_id", "file_id", None))
+    assert columns_read(text, "symbols") == {"symbol_id", "parent_id", "file_id"}
     text = plan(catalog.QUERIES["a01_fan_in"](spark, folder))
     assert "text" not in columns_read(text, "edges") and "PushedFilters: [" in text
     text = plan(catalog.QUERIES["t14_sizes_and_lines"](spark, folder))
